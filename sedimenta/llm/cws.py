@@ -39,23 +39,23 @@ def runs(ordered: Column) -> Column:
     return F.transform(ends, lambda e, k: F.struct(F.get(ordered, e - 1).alias("term"), e.alias("end"), k.alias("k")))
 
 
-def unit(bits: Column) -> Column:
-    """32 bits as a number strictly between 0 and 1."""
-    return (bits.bitwiseAND(F.lit(0xFFFFFFFF)) + 0.5) / 4294967296.0
+def unit(bits: Column, width: int) -> Column:
+    """The low ``width`` bits as a number strictly between 0 and 1."""
+    return (bits.bitwiseAND(F.lit((1 << width) - 1)) + 0.5) * (0.5**width)
 
 
 def candidate(term: Column, log_weight: Column, k: int) -> Column:
     """The packed long of a term for sample k."""
-    h1 = F.xxhash64(term, F.lit(k))
+    h1 = F.xxhash64(term.bitwiseXOR(F.lit((0x5851F42D4C957F2D * (k + 1)) % (1 << 62))))
     h2 = F.xxhash64(h1)
-    h3 = F.xxhash64(h2)
-    r = -F.ln(unit(h1) * unit(F.shiftrightunsigned(h1, 32)))
-    log_c = F.ln(-F.ln(unit(h2) * unit(F.shiftrightunsigned(h2, 32))))
-    beta = unit(h3)
+    r = -F.ln(unit(h1, 32) * unit(F.shiftrightunsigned(h1, 32), 32))
+    log_c = F.ln(-F.ln(unit(h2, 22) * unit(F.shiftrightunsigned(h2, 22), 21)))
+    beta = unit(F.shiftrightunsigned(h2, 43), 21)
     t = F.floor(log_weight / r + beta)
     log_a = log_c - r * (t - beta) - r
     rank = F.least(F.greatest((log_a + 64) * 16777216.0, F.lit(0.0)), F.lit(2147483647.0)).cast("long")
-    return F.shiftleft(rank, 32).bitwiseOR(F.xxhash64(h1, t).bitwiseAND(F.lit(0xFFFFFFFF)))
+    identity = h1.bitwiseXOR(F.shiftleft(t, 16)).bitwiseAND(F.lit(0xFFFFFFFF))
+    return F.shiftleft(rank, 32).bitwiseOR(identity)
 
 
 def signature(mins: list[str]) -> Column:
@@ -97,7 +97,7 @@ def chained(docs: DataFrame, parts: int) -> DataFrame:
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of every text and of its edited text, and their likeness."""
     docs = C.id_text(docs, id_col, text_col)
-    rows = chained(docs, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = chained(docs, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     rows = rows.withColumn("edited", F.when(~F.col("helper"), F.concat(F.substr("text", F.lit(1), n - half), F.substr(F.coalesce("next", F.lit("")), F.lit(1), half))))
