@@ -146,8 +146,8 @@ def repeated_starts(docs: DataFrame, window: int, buckets: int, anchors: np.ndar
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, cuts, block = sent.value, bucket_cuts(buckets, 64), window // 2
-        names = ["bucket", "n", "hash", "more", "place", "start", "docs", "marks"]
-        kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 6)
+        names = ["bucket", "origin", "n", "hash", "more", "place", "start", "docs", "marks"]
+        kinds = (pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 6)
         for g in grouped(batches, window):
             hashes, inside = g.windows(window)
             if known is not None:
@@ -164,66 +164,80 @@ def repeated_starts(docs: DataFrame, window: int, buckets: int, anchors: np.ndar
             key = hashes[at]
             more = (C.rolling(C.mix(g.words ^ np.uint64(0x5851F42D4C957F2D)), window)[at] >> np.uint64(32)).astype(np.uint32)
             doc = g.doc[at]
-            order = np.lexsort((g.ids[doc], more, key))
+            order = np.lexsort((g.ids[doc], key ^ more))  # equal windows stand together
+            order = order[np.argsort(key[order], kind="stable")]
             key, more, doc, at = key[order], more[order], doc[order], at[order]
             new = np.concatenate([[True], (key[1:] != key[:-1]) | (more[1:] != more[:-1])])
             first = np.flatnonzero(new)
-            run = np.cumsum(new) - 1
-            here = g.ids[doc] > g.ids[doc[first]][run]  # a smaller id in the same group has it
+            here = g.ids[doc] > g.ids[doc[first]][np.cumsum(new) - 1]  # a smaller id in the same group has it
             start = (at - g.start[doc]).astype(np.uint32)
+            origin = xxhash.xxh64_intdigest(g.ids.tobytes() + g.marks.tobytes()) >> 1
             out = []
-            # equal smallest ids all stay in question
-            asked = np.flatnonzero(~here)
-            key, more, qdoc, qstart = key[asked], more[asked], doc[asked], start[asked]
+
+            def add(bucket: int, own: np.ndarray, key: np.ndarray | None, more: np.ndarray | None, doc: np.ndarray = doc, start: np.ndarray = start, g: Group = g, origin: int = origin, out: list = out) -> None:
+                of, place = np.unique(doc[own], return_inverse=True)
+                out.append((bucket, origin, len(own), None if key is None else gaps(key), None if more is None else squeeze(more), squeeze(place.astype(np.uint32)), squeeze(start[own]), g.ids[of].tobytes(), g.marks[of].tobytes()))
+
+            asked = np.flatnonzero(~here)  # equal smallest ids all stay in question
+            key, more = key[asked], more[asked]
             ends = [0, *np.searchsorted(key, cuts).tolist(), len(key)]
             for k, (a, b) in enumerate(zip(ends, ends[1:], strict=False)):
                 if b > a:
-                    of, place = np.unique(qdoc[a:b], return_inverse=True)
-                    out.append((k, b - a, gaps(key[a:b]), squeeze(more[a:b]), squeeze(place.astype(np.uint32)), squeeze(qstart[a:b]), g.ids[of].tobytes(), g.marks[of].tobytes()))
-            # what is settled here goes on under no bucket, dealt by document
-            done = np.flatnonzero(here)
-            if len(done):
-                of, place = np.unique(doc[done], return_inverse=True)
-                out.append((-1 - int(g.marks[of[0]] % buckets), len(done), None, None, squeeze(place.astype(np.uint32)), squeeze(start[done]), g.ids[of].tobytes(), g.marks[of].tobytes()))
+                    add(k, asked[a:b], key[a:b], more[a:b])
+            if here.any():  # settled; under no range of hashes
+                add(-1 - origin % buckets, np.flatnonzero(here), None, None)
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, marks, base, docs_, starts, keys, mores = [], [], 0, [], [], [], []
-        settled = pdf["bucket"].iloc[0] < 0
-        for r in pdf.itertuples():
-            own = np.frombuffer(r.docs, np.int64)
-            ids.append(own)
-            marks.append(np.frombuffer(r.marks, np.int64))
-            docs_.append(unsqueeze(r.place, np.uint32, r.n).astype(np.int64) + base)
-            starts.append(unsqueeze(r.start, np.uint32, r.n))
-            base += len(own)
-            if not settled:
-                keys.append(ungaps(r.hash, r.n))
-                mores.append(unsqueeze(r.more, np.uint32, r.n))
-        ids, marks, docs_, starts = (np.concatenate(x) for x in (ids, marks, docs_, starts))
-        if not settled:
-            key, more, own = np.concatenate(keys), np.concatenate(mores), ids[docs_]
-            order = np.lexsort((own, more, key))
-            key, more, own, docs_, starts = key[order], more[order], own[order], docs_[order], starts[order]
+        """Of each list that came in, what goes: one list back for its group of documents."""
+        n = pdf["n"].to_numpy()
+        later = np.ones(n.sum(), bool)
+        if pdf["bucket"].iloc[0] >= 0:
+            place = [unsqueeze(p, np.uint32, k) for p, k in zip(pdf["place"], n, strict=True)]
+            own = np.concatenate([np.frombuffer(d, np.int64)[p] for d, p in zip(pdf["docs"], place, strict=True)])
+            key = np.concatenate([ungaps(h, k) for h, k in zip(pdf["hash"], n, strict=True)])
+            more = np.concatenate([unsqueeze(m, np.uint32, k) for m, k in zip(pdf["more"], n, strict=True)])
+            order = np.argsort(own, kind="stable")
+            order = order[np.argsort((key ^ more)[order], kind="stable")]
+            order = order[np.argsort(key[order], kind="stable")]
+            key, more, own = key[order], more[order], own[order]
             new = np.concatenate([[True], (key[1:] != key[:-1]) | (more[1:] != more[:-1])])
-            later = own > own[np.flatnonzero(new)][np.cumsum(new) - 1]
-            docs_, starts = docs_[later], starts[later]
-        order = np.lexsort((starts, docs_))
-        docs_, starts = docs_[order], starts[order]
-        first = np.flatnonzero(np.concatenate([[True], docs_[1:] != docs_[:-1]])) if len(docs_) else np.empty(0, np.int64)
-        cut = np.append(first, len(docs_))
-        of = docs_[first]
-        return pd.DataFrame({"id": ids[of], "mark": marks[of], "starts": [gaps(starts[a:b].astype(np.uint64)) for a, b in zip(cut, cut[1:], strict=False)], "n": np.diff(cut).astype(np.int32)})
-
-    rows = docs.mapInArrow(hits, "bucket int, n int, hash binary, more binary, place binary, start binary, docs binary, marks binary")
-    return rows.groupBy("bucket").applyInPandas(meet, "id long, mark long, starts binary, n int")
+            later[order] = own > own[np.flatnonzero(new)][np.cumsum(new) - 1]
+        rows, base = [], 0
+        for r in pdf.itertuples():
+            keep = later[base : base + r.n]
+            base += r.n
+            if keep.any():
+                same = keep.all()
+                place, start = (r.place, r.start) if same else (squeeze(unsqueeze(x, np.uint32, r.n)[keep]) for x in (r.place, r.start))
+                rows.append((r.origin, int(keep.sum()), place, start, r.docs, r.marks))
+        return pd.DataFrame(rows, columns=["origin", "n", "place", "start", "docs", "marks"])
+
+    def gather(pdf: pd.DataFrame) -> pd.DataFrame:
+        """All starts that go, by document of a group."""
+        ids = np.concatenate([np.frombuffer(d, np.int64) for d in pdf["docs"]])
+        marks = np.concatenate([np.frombuffer(m, np.int64) for m in pdf["marks"]])
+        base = np.cumsum([0, *(len(d) // 8 for d in pdf["docs"])])
+        place = np.concatenate([unsqueeze(p, np.uint32, n).astype(np.int64) + b for p, n, b in zip(pdf["place"], pdf["n"], base, strict=False)])
+        start = np.concatenate([unsqueeze(s, np.uint32, n) for s, n in zip(pdf["start"], pdf["n"], strict=True)])
+        of, back = np.unique(np.stack([ids, marks]), axis=1, return_inverse=True)
+        both = np.sort(back.ravel()[place].astype(np.uint64) << np.uint64(32) | start)
+        doc = (both >> np.uint64(32)).astype(np.int64)
+        first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+        cut = np.append(first, len(doc))
+        start = (both & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        return pd.DataFrame({"id": of[0][doc[first]], "mark": of[1][doc[first]], "starts": [squeeze(np.diff(start[a:b], prepend=np.uint32(0))) for a, b in zip(cut, cut[1:], strict=False)], "n": np.diff(cut).astype(np.int32)})
+
+    rows = docs.mapInArrow(hits, "bucket int, origin long, n int, hash binary, more binary, place binary, start binary, docs binary, marks binary")
+    back = rows.groupBy("bucket").applyInPandas(meet, "origin long, n int, place binary, start binary, docs binary, marks binary")
+    return back.groupBy("origin").applyInPandas(gather, "id long, mark long, starts binary, n int")
 
 
 def kept_words(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed, kept (the words left, one space between) for every row."""
     spark = docs.sparkSession
     docs = C.id_text(docs, id_col, text_col)
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = C.written(shared_anchors(docs, window, buckets), "anchors")
     few = found.count() <= ANCHORS
     anchors = np.unique(np.array([r[0] for r in found.collect()], np.int64).view(np.uint64)) if few else None
@@ -238,9 +252,9 @@ def kept_words(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_c
                 if parts:
                     change = np.zeros(n + 1, np.int64)
                     for part in parts:
-                        at = ungaps(part["starts"], part["n"]).astype(np.int64)
-                        np.add.at(change, at, 1)
-                        np.add.at(change, at + window, -1)
+                        at = np.cumsum(unsqueeze(part["starts"], np.uint32, part["n"]), dtype=np.int64)
+                        change[at] += 1  # starts of a part differ
+                        change[at + window] -= 1
                     kept = np.flatnonzero(np.cumsum(change)[:n] == 0)
                     words = [words[i] for i in kept.tolist()]
                 out.append((doc_id, n, n - len(words), b" ".join(words)))
