@@ -60,7 +60,7 @@ def candidate(term: Column, log_weight: Column, k: int) -> Column:
 
 def signature(mins: list[str]) -> Column:
     """The samples' identities, 8 hex digits each."""
-    return F.concat(*[F.lower(F.lpad(F.hex(F.coalesce(F.col(c), F.lit(0)).bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0")) for c in mins])
+    return F.concat(*[F.lower(F.lpad(F.hex(F.col(c).bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0")) for c in mins])
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -104,13 +104,14 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     versions = F.array(F.struct(F.lit(0).alias("version"), F.col("text").alias("body")), F.struct(F.lit(1).alias("version"), F.col("edited").alias("body")))
     rows = rows.select("part", "rn", "helper", "doc_id", F.explode(versions).alias("v")).where("v.body is not null")
     rows = rows.select("part", "rn", "helper", "doc_id", "v.version", F.char_length("v.body").alias("n_chars"), F.sha2("v.body", 256).alias("sha"), terms(F.col("v.body")).alias("s"))
-    keys = ["part", "rn", "helper", "doc_id", "version", "n_chars", "sha"]
+    rows = rows.withColumn("blank", F.size("s") == 0)
+    keys = ["part", "rn", "helper", "doc_id", "version", "n_chars", "sha", "blank"]
     rows = rows.select(*keys, runs(F.col("s")).alias("x"))
     counted = F.transform("x", lambda e, k: F.struct(e["term"].alias("term"), F.ln(e["end"] - F.when(k == 0, 0).otherwise(F.get(F.col("x"), k - 1)["end"])).alias("w")))
-    rows = rows.select(*keys, F.explode_outer(counted).alias("e")).select(*keys, "e.term", "e.w")
+    rows = rows.select(*keys, F.explode_outer(counted).alias("e")).select(*keys, F.coalesce("e.term", F.lit(0)).alias("term"), F.coalesce("e.w", F.lit(0.0)).alias("w"))
     mins = [f"m{k}" for k in range(SAMPLES)]
-    rows = rows.groupBy(*keys).agg(*[F.min(F.when(F.col("term").isNotNull(), candidate(F.col("term"), F.col("w"), k))).alias(m) for k, m in enumerate(mins)])
-    rows = rows.select(*keys, signature(mins).alias("fp"))
+    rows = rows.groupBy(*keys).agg(*[F.min(candidate(F.col("term"), F.col("w"), k)).alias(m) for k, m in enumerate(mins)])
+    rows = rows.select(*keys, F.when(F.col("blank"), "0" * 8 * SAMPLES).otherwise(signature(mins)).alias("fp"))
     first, second = F.col("version") == 0, F.col("version") == 1
     rows = rows.groupBy("part", "rn", "helper", "doc_id").agg(
         F.max(F.when(first, F.col("n_chars"))).cast("long").alias("n_chars"),
