@@ -128,30 +128,19 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(C.table(spark, sf_dir, "documents"))
 
 
-def _duck_spans(kind: str, pattern: str, group: int, least: int) -> str:
-    """DuckDB: list of structs (s, k, e, kind) of a rule's matches."""
-    p = pattern.replace("'", "''")
-    return f"""list_filter(list_transform(range(1, len(regexp_extract_all(t, '{p}')) + 1), lambda i: {{
-      's': list_sum(list_transform(string_split_regex(t, '{p}')[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(regexp_extract_all(t, '{p}')[1:i-1], lambda g: length(g))), 0),
-      'n': length(regexp_extract_all(t, '{p}')[i]), 'ok': length(regexp_extract_all(t, '{p}', {group})[i]) >= {least}, 'kind': '{kind}'}}), lambda x: x.ok)"""
-
-
-ORACLE = """WITH d AS (SELECT doc_id, coalesce(text, '') t FROM documents), s AS (SELECT doc_id, {parts} FROM d), """.format(
-    parts=", ".join(
-        f"{_duck_spans(k, p, g, n)} AS {k}_"
-        for k, p, g, n in (
-            ("assign", r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
-            ("access", "AKIA[A-Z0-9]+", 0, 16),
-            ("hex", "[0-9a-f]+", 0, 32),
-            ("github", MORE[0].pattern, 0, 40),
-            ("slack", MORE[1].pattern, 0, 24),
-            ("jwt", MORE[2].pattern, 0, 40),
-            ("pem", MORE[3].pattern, 0, 27),
-        )
-    )
-) + """a AS (SELECT doc_id, len(assign_) n_assign, len(access_) n_access, len(hex_) n_hex,
-  list_sort(list_transform(assign_ || access_ || hex_, lambda x: {'s': x.s, 'k': list_position(['assign', 'access', 'hex', 'github', 'slack', 'jwt', 'pem'], x.kind), 'e': x.s + x.n, 'kind': x.kind})) b,
-  list_sort(list_transform(assign_ || access_ || hex_ || github_ || slack_ || jwt_ || pem_, lambda x: {'s': x.s, 'k': list_position(['assign', 'access', 'hex', 'github', 'slack', 'jwt', 'pem'], x.kind), 'e': x.s + x.n, 'kind': x.kind})) c FROM s)
-SELECT doc_id, n_assign::BIGINT n_assign, n_access::BIGINT n_access, n_hex::BIGINT n_hex,
-  sha256(coalesce(array_to_string(list_transform(b, lambda x: x.kind || ':' || x.s || ':' || x.e), ','), '')) base_sha256,
-  coalesce(array_to_string(list_transform(c, lambda x: x.kind || ':' || x.s || ':' || x.e), ','), '') spans FROM a"""
+def _duck() -> str:
+    """The same in DuckDB: matches and the pieces between them as lists, then running lengths."""
+    base = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+    rules = [(r.kind, (base if r.kind == "assign" else r.pattern).replace("'", "''"), r.group, r.least) for r in RULES]
+    lists = ", ".join(f"regexp_extract_all(t, '{p}') AS {k}_m, string_split_regex(t, '{p}') AS {k}_g, regexp_extract_all(t, '{p}', {g}) AS {k}_j" for k, p, g, _ in rules)
+    one = """list_filter(list_transform(range(1, len({k}_m) + 1), lambda i: {{'s': list_sum(list_transform({k}_g[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform({k}_m[1:i-1], lambda g: length(g))), 0),
+      'n': length({k}_m[i]), 'ok': length({k}_j[i]) >= {n}, 'kind': '{k}'}}), lambda x: x.ok) AS {k}_"""
+    kinds = "[" + ", ".join(f"'{r.kind}'" for r in RULES) + "]"
+    row = f"lambda x: {{'s': x.s, 'k': list_position({kinds}, x.kind), 'e': x.s + x.n, 'kind': x.kind}}"
+    text = "lambda x: x.kind || ':' || x.s || ':' || x.e"
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') t FROM documents), m AS (SELECT doc_id, {lists} FROM d), s AS (SELECT doc_id, {", ".join(one.format(k=k, n=n) for k, _, _, n in rules)} FROM m),
+a AS (SELECT doc_id, len(assign_) n_assign, len(access_) n_access, len(hex_) n_hex, list_sort(list_transform(assign_ || access_ || hex_, {row})) b, list_sort(list_transform({" || ".join(f"{r.kind}_" for r in RULES)}, {row})) c FROM s)
+SELECT doc_id, n_assign::BIGINT n_assign, n_access::BIGINT n_access, n_hex::BIGINT n_hex, sha256(coalesce(array_to_string(list_transform(b, {text}), ','), '')) base_sha256, coalesce(array_to_string(list_transform(c, {text}), ','), '') spans FROM a"""
+
+
+ORACLE = _duck()
