@@ -358,3 +358,12 @@ _MIME_CASE = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in scalar.MIME.items())
 @query("q_mime", f"WITH {PAGE_ROWS} SELECT CASE ext {_MIME_CASE} ELSE 'application/octet-stream' END AS mime, count(*) AS n FROM r GROUP BY 1")
 def _(t):
     return t("pages").groupBy(scalar.mime(F.regexp_extract("url", r"^[a-z]+://[^/]+([^?#]*)", 1)).alias("mime")).agg(F.count("*").alias("n"))
+
+
+@query("q_carve_pages")
+def _(t):
+    """Pages as images: HTML objects by header and footer."""
+    from ..operators import carve, catalog
+
+    images = t("pages").select(F.col("page_id").alias("image_id"), F.col("html").cast("binary").alias("data"))
+    return carve.summary(carve.carve(images, catalog.selected(categories=["document"])))
