@@ -308,7 +308,8 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, budg
     classes = C.written(prints.groupBy("content").agg(F.min("doc_id").alias("node"), F.first("fp").alias("fp")), "classes")
     pairs = C.written(similar_candidates(classes, budget, orders), "pairs")
     involved = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = C.id_text(docs, id_col, text_col).join(involved, "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "text")
+    texts = C.id_text(docs, id_col, text_col).join(involved.hint("merge"), "doc_id", "left_semi")  # no broadcast at any size: ids grow with the input
+    texts = texts.select(F.col("doc_id").alias("node"), "text")
     sets = C.written(shingle_sets(texts, size), "shingles")
     one, two = sets.select(F.col("node").alias("a"), F.col("shingles").alias("one")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("two"))
 
@@ -329,4 +330,4 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, budg
 def deduplicated(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of the smallest id of each group, with all columns; rows that share an id stay together, null ids stay."""
     gone = similar_groups(docs, size, similarity, id_col=id_col, text_col=text_col).where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(C.written(gone, "copies"), id_col, "left_anti").select(*docs.columns)
+    return docs.join(C.written(gone, "copies").hint("merge"), id_col, "left_anti").select(*docs.columns)
