@@ -16,6 +16,7 @@ table gives no rows. Texts are read whole.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -223,10 +224,20 @@ def near_pairs(keys: np.ndarray, depth: int, budget: int, most: int) -> Iterator
             yield heads[i], heads[j]
 
 
-def similar_candidates(prints: DataFrame, budget: int, orders: int, nearest: int = 4, most: int = 512) -> DataFrame:
-    """Pairs (a, b) of nodes that tries over several orders of the bits put near each other."""
+def orders_for(depth: int, apart: int, recall: float) -> int:
+    """How many orders of the bits make fingerprints ``apart`` bits away share their first ``depth`` bits in one of them."""
+    return math.ceil(math.log(1 - recall) / math.log1p(-((1 - apart / BITS) ** depth)))
+
+
+def similar_candidates(prints: DataFrame, budget: int, recall: float, apart: int = 5, nearest: int = 4, most: int = 512) -> DataFrame:
+    """Pairs (a, b) of nodes that tries over several orders of the bits put near each other.
+
+    More rows need deeper roots, which fewer near pairs share, so the number of orders
+    follows the depth: the share of pairs ``apart`` bits away that meet stays the same.
+    """
     total = prints.count()
-    depth = max(10, int(total).bit_length() + 1)
+    depth = min(48, max(10, int(total).bit_length() + 1))
+    orders = orders_for(depth, apart, recall)
     rng = np.random.default_rng(3)
     permutations = [rng.permutation(BITS) for _ in range(orders)]
 
@@ -296,7 +307,7 @@ def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.select("node", "text").mapInArrow(run, "node long, shingles binary")
 
 
-def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, budget: int = 14, orders: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, budget: int = 14, recall: float = 0.996, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and component_id of documents that links of the given Jaccard similarity connect.
 
     Fingerprints of distinct words only propose pairs: two texts with a similarity
@@ -306,7 +317,7 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, budg
     """
     prints = C.written(word_prints(docs, size, id_col, text_col).where("doc_id is not null"), "fingerprints")
     classes = C.written(prints.groupBy("content").agg(F.min("doc_id").alias("node"), F.first("fp").alias("fp")), "classes")
-    pairs = C.written(similar_candidates(classes, budget, orders), "pairs")
+    pairs = C.written(similar_candidates(classes, budget, recall), "pairs")
     involved = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
     texts = C.id_text(docs, id_col, text_col).join(involved.hint("merge"), "doc_id", "left_semi")  # no broadcast at any size: ids grow with the input
     texts = texts.select(F.col("doc_id").alias("node"), "text")

@@ -102,6 +102,17 @@ def test_components(spark):
     assert got == {k: 0 for k in range(1, 41)} | {95: 90, 100: 90}
 
 
+@pytest.mark.parametrize("depth", [10, 18, 30])
+def test_near_prints_meet_as_often_at_every_depth(depth):
+    rng = np.random.default_rng(depth)
+    met, orders = 0, simhash.orders_for(depth, 5, 0.996)
+    for _ in range(2000):
+        differ = np.zeros(64, bool)
+        differ[rng.choice(64, 5, replace=False)] = True
+        met += any(not differ[rng.permutation(64)[:depth]].any() for _ in range(orders))
+    assert met >= 0.98 * 2000
+
+
 def test_similar_groups(spark):
     rng = random.Random(3)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
