@@ -226,7 +226,7 @@ def near_pairs(keys: np.ndarray, depth: int, budget: int, most: int) -> Iterator
 
 def orders_for(depth: int, apart: int, recall: float) -> int:
     """How many orders of the bits make fingerprints ``apart`` bits away share their first ``depth`` bits in one of them."""
-    return math.ceil(math.log(1 - recall) / math.log1p(-((1 - apart / BITS) ** depth)))
+    return math.ceil(math.log(1 - recall) / math.log1p(-math.comb(BITS - depth, apart) / math.comb(BITS, apart)))
 
 
 def similar_candidates(prints: DataFrame, budget: int, recall: float, apart: int = 5, nearest: int = 4, most: int = 512) -> DataFrame:
@@ -307,7 +307,7 @@ def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.select("node", "text").mapInArrow(run, "node long, shingles binary")
 
 
-def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, budget: int = 14, recall: float = 0.996, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, budget: int = 14, recall: float = 0.99, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and component_id of documents that links of the given Jaccard similarity connect.
 
     Fingerprints of distinct words only propose pairs: two texts with a similarity

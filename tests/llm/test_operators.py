@@ -105,7 +105,7 @@ def test_components(spark):
 @pytest.mark.parametrize("depth", [10, 18, 30])
 def test_near_prints_meet_as_often_at_every_depth(depth):
     rng = np.random.default_rng(depth)
-    met, orders = 0, simhash.orders_for(depth, 5, 0.996)
+    met, orders = 0, simhash.orders_for(depth, 5, 0.99)
     for _ in range(2000):
         differ = np.zeros(64, bool)
         differ[rng.choice(64, 5, replace=False)] = True
