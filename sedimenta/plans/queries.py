@@ -367,3 +367,119 @@ def _(t):
 
     images = t("pages").select(F.col("page_id").alias("image_id"), F.col("html").cast("binary").alias("data"))
     return carve.summary(carve.carve(images, catalog.selected(categories=["document"])))
+
+
+# Joins, aggregates and orders that file system records need, on the driver's tables.
+
+
+@query("q_name_or_number", "SELECT c_custkey, coalesce(name, 'inode_' || c_custkey) AS name FROM customer LEFT JOIN (SELECT o_custkey, arg_min(o_orderpriority, o_orderkey) AS name FROM orders GROUP BY 1) ON c_custkey = o_custkey")
+def _(t):
+    names = t("orders").groupBy("o_custkey").agg(F.min_by("o_orderpriority", "o_orderkey").alias("name"))
+    rows = t("customer").select("c_custkey").join(names, F.col("c_custkey") == F.col("o_custkey"), "left")
+    return rows.select("c_custkey", F.coalesce("name", F.concat(F.lit("inode_"), F.col("c_custkey").cast("string"))).alias("name"))
+
+
+@query("q_fold_children", "SELECT o_orderkey, count(l_orderkey) AS n, coalesce(string_agg(l_linenumber || ':' || l_partkey, ',' ORDER BY l_linenumber || ':' || l_partkey), '') AS children FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
+def _(t):
+    child = F.concat_ws(":", F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string"))
+    folded = t("lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list(child)), ",").alias("children"))
+    rows = t("orders").select("o_orderkey").join(folded, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    return rows.select("o_orderkey", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("children", F.lit("")).alias("children"))
+
+
+@query("q_names_not_held", "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+def _(t):
+    return t("customer").select("c_custkey", "c_name").join(t("orders").select("o_custkey"), F.col("c_custkey") == F.col("o_custkey"), "left_anti")
+
+
+@query("q_copies_compared", "SELECT count(*) AS compared, count_if(o_orderstatus <> l_linestatus) AS differ FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_linenumber = 1")
+def _(t):
+    second = t("lineitem").where("l_linenumber = 1").select("l_orderkey", "l_linestatus")
+    rows = t("orders").select("o_orderkey", "o_orderstatus").join(second, F.col("o_orderkey") == F.col("l_orderkey"))
+    return rows.agg(F.count("*").alias("compared"), F.count_if(F.col("o_orderstatus") != F.col("l_linestatus")).alias("differ"))
+
+
+@query("q_two_level_lookup", "SELECT c_nationkey, count(*) AS n, sum(l_linenumber)::BIGINT AS total FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY 1")
+def _(t):
+    # a line's order, that order's customer; lines are counted by order before they meet them
+    lines = t("lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"), F.sum("l_linenumber").alias("total"))
+    rows = lines.join(t("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    rows = rows.join(t("customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
+    return rows.groupBy("c_nationkey").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+
+
+@query("q_index_selection", "SELECT page_id, url FROM pages WHERE page_id IN (SELECT doc_id FROM labels WHERE quality = 1) AND length(html) > 0")
+def _(t):
+    chosen = t("labels").where("quality = 1").select("doc_id")
+    return t("pages").where("char_length(html) > 0").select("page_id", "url").join(chosen, F.col("page_id") == F.col("doc_id"), "left_semi")
+
+
+@query("q_preferred_name", """SELECT user_id, arg_min(event_type, k) AS event_type FROM (SELECT user_id, event_type, CASE event_type WHEN 'purchase' THEN 0 WHEN 'click' THEN 1 ELSE 2 END * 1000000000000 + event_id AS k FROM events) GROUP BY 1""")
+def _(t):
+    rank = F.when(F.col("event_type") == "purchase", 0).when(F.col("event_type") == "click", 1).otherwise(2)
+    return t("events").groupBy("user_id").agg(F.min_by("event_type", F.struct(rank, "event_id")).alias("event_type"))
+
+
+@query("q_holes", f"""WITH {SPANS}, g AS (SELECT user_id, s, f, event_id, lag(f) OVER (PARTITION BY user_id ORDER BY s, event_id) AS before FROM e)
+SELECT user_id, s AS "start", f - s AS length, false AS sparse FROM g UNION ALL SELECT user_id, before, s - before, true FROM g WHERE s > before""")
+def _(t):
+    before = F.lag("end").over(Window.partitionBy("user_id").orderBy("start", "event_id"))
+    rows = spans(t).select("user_id", "start", "end", before.alias("before"))
+    extent = F.struct(F.col("start"), (F.col("end") - F.col("start")).alias("length"), F.lit(False).alias("sparse"))
+    hole = F.struct(F.col("before").alias("start"), (F.col("start") - F.col("before")).alias("length"), F.lit(True).alias("sparse"))
+    return rows.select("user_id", F.explode(F.when(F.col("start") > F.col("before"), F.array(hole, extent)).otherwise(F.array(extent))).alias("x")).select("user_id", "x.*")
+
+
+@query("q_clipped", f"""WITH {SPANS}, w AS (SELECT event_id, s, f, s - s % 86400 + 43200 AS a FROM e) SELECT event_id, greatest(s, a) AS "start", least(f, a + 43200) AS "end" FROM w WHERE s < a + 43200 AND f > a""")
+def _(t):
+    rows = spans(t).withColumn("a", F.col("start") - F.col("start") % 86_400 + 43_200).where("start < a + 43200 and end > a")
+    return rows.select("event_id", F.greatest("start", "a").alias("start"), F.least("end", F.col("a") + 43_200).alias("end"))
+
+
+@query("q_deleted_count", f"WITH {PAGE_ROWS} SELECT method, count(*) AS n, count_if(deleted) AS n_deleted FROM r GROUP BY 1")
+def _(t):
+    return page_rows(t).groupBy("method").agg(F.count("*").alias("n"), F.count_if("deleted").alias("n_deleted"))
+
+
+@query("q_counters", "SELECT 'events_' || event_type AS key, count(*) AS value FROM events GROUP BY 1 UNION ALL SELECT 'orders_' || o_orderstatus, count(*) FROM orders GROUP BY 1")
+def _(t):
+    events = t("events").select(F.concat(F.lit("events_"), F.col("event_type")).alias("key"))
+    return events.unionByName(t("orders").select(F.concat(F.lit("orders_"), F.col("o_orderstatus")).alias("key"))).groupBy("key").agg(F.count("*").alias("value"))
+
+
+@query("q_techniques", "SELECT user_id, string_agg(event_type, ',' ORDER BY first) AS techniques FROM (SELECT user_id, event_type, min(event_id) AS first FROM events GROUP BY ALL) GROUP BY 1")
+def _(t):
+    first = t("events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("first"))
+    ordered = F.array_sort(F.collect_list(F.struct("first", "event_type")))
+    return first.groupBy("user_id").agg(F.array_join(F.transform(ordered, lambda x: x["event_type"]), ",").alias("techniques"))
+
+
+@query("q_tail_trimmed", "SELECT doc_id, length(rtrim(text, '. '))::INT AS n FROM documents WHERE text IS NOT NULL")
+def _(t):
+    return t("documents").where("text is not null").select("doc_id", F.char_length(F.rtrim("text", F.lit(". "))).alias("n"))
+
+
+@query("q_extraction_rollup", "SELECT source, count_if(text IS NOT NULL) AS written, count_if(text IS NULL) AS failed, count_if(lang IS NULL) AS undecoded, coalesce(sum(n_chars), 0)::BIGINT AS chars FROM documents GROUP BY 1")
+def _(t):
+    return t("documents").groupBy("source").agg(F.count_if(F.col("text").isNotNull()).alias("written"), F.count_if(F.col("text").isNull()).alias("failed"), F.count_if(F.col("lang").isNull()).alias("undecoded"), F.coalesce(F.sum("n_chars"), F.lit(0)).alias("chars"))
+
+
+@query("q_listed", f"WITH {PAGE_ROWS} SELECT index, path FROM r WHERE deleted ORDER BY path, index LIMIT 200")
+def _(t):
+    return page_rows(t).where("deleted").orderBy("path", "index").limit(200).select("index", "path")
+
+
+@query("q_distinct_hits", "SELECT DISTINCT user_id, event_type FROM events")
+def _(t):
+    return t("events").select("user_id", "event_type").distinct()
+
+
+@query("q_progress", "SELECT o_custkey, round(sum(CASE o_orderstatus WHEN 'F' THEN 100 WHEN 'P' THEN 50 ELSE 0 END) / count(*), 6) AS percent FROM orders GROUP BY 1")
+def _(t):
+    done = F.when(F.col("o_orderstatus") == "F", 100).when(F.col("o_orderstatus") == "P", 50).otherwise(0)
+    return t("orders").groupBy("o_custkey").agg(F.round(F.sum(done) / F.count("*"), 6).alias("percent"))
+
+
+@query("q_json_manifest", f"WITH {PAGE_ROWS} SELECT index, to_json({{'index': index, 'path': path, 'size': size, 'deleted': deleted}})::VARCHAR AS entry FROM r")
+def _(t):
+    return page_rows(t).select("index", F.to_json(F.struct("index", "path", "size", "deleted")).alias("entry"))
