@@ -1,0 +1,163 @@
+"""Pairs of texts that can be similar: a self-join on necessary shingles.
+
+Two sets with a Jaccard similarity of s share one of the first n - ceil(s * n) + 1
+elements of each, in any order common to both. Frequent shingles come last in that
+order, so passages that many documents share seldom index anything. Which ones count
+as frequent is counted on a share of the rows and only affects cost: any order gives
+the same pairs. Buckets that lie within one known component give no pair; large ones
+are dealt over cells so that each two members meet in one cell.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from . import _common as C
+
+#: Members of a bucket for each cell and side.
+CELL = 10_000
+
+
+def shingles(words: list[bytes], size: int, table: C.WordIds) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the shingles; the whole sequence when it is shorter."""
+    ids = table.of(words)
+    return np.unique(C.rolling(ids, min(size, max(1, len(ids)))))
+
+
+def frequent(docs: DataFrame, size: int, one_in: int = 8, at_least: int = 3, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted shingles that occur often, and in about how many documents, from (doc_id, text); at most ``most``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = C.WordIds(42)
+        for slab in C.slabs(batches):
+            for text in slab.column(1).cast(pa.binary()).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(shingles(text.lower().split(), size, table).view(np.int64))], names=["token"])
+
+    rows = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(one_in)) == 0).mapInArrow(run, "token long")
+    top = rows.groupBy("token").count().where(F.col("count") >= at_least).orderBy(F.desc("count"), "token").limit(most).toArrow()
+    tokens, counts = top.column("token").to_numpy().view(np.uint64), top.column("count").to_numpy() * one_in
+    order = np.argsort(tokens)
+    return tokens[order], counts[order]
+
+
+def found(values: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each value is among the sorted known ones, and its place there."""
+    if not len(known):
+        return np.zeros(len(values), bool), np.zeros(len(values), np.int64)
+    at = np.minimum(np.searchsorted(known, values), len(known) - 1)
+    return known[at] == values, at
+
+
+def prefixes(docs: DataFrame, size: int, similarity: float, known: np.ndarray) -> DataFrame:
+    """doc_id, content (a hash of the words), n distinct shingles and the necessary ones in order, from (doc_id, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = C.WordIds(42)
+        for slab in C.slabs(batches):
+            contents, sizes, parts = [], [], []
+            for text in slab.column(1).cast(pa.binary()).to_pylist():
+                words = text.lower().split()
+                own = shingles(words, size, table)
+                often, _ = found(own, known)
+                need = len(own) - int(np.ceil(similarity * len(own) - 1e-9)) + 1 if len(own) else 0
+                contents.append(xxhash.xxh64_intdigest(b" ".join(words), 7))
+                sizes.append(len(own))
+                parts.append(np.concatenate([own[~often], own[often]])[:need].tobytes())
+            yield pa.RecordBatch.from_arrays([slab.column(0), pa.array(np.array(contents, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(parts, pa.binary())], names=["doc_id", "content", "n", "tokens"])
+
+    return docs.mapInArrow(run, "doc_id long, content long, n int, tokens binary")
+
+
+def bucket_pairs(group: np.ndarray, node: np.ndarray, component: np.ndarray, n: np.ndarray, place: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs within groups (rows sorted by group, then n) of different components whose sizes and places allow the similarity."""
+    if not len(group):
+        return
+    start = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    mixed = np.minimum.reduceat(component, start) != np.maximum.reduceat(component, start)
+    keep = np.repeat(mixed, np.diff(np.append(start, len(group))))
+    group, node, component, n, place = group[keep], node[keep], component[keep], n[keep].astype(np.int64), place[keep]
+    i, step = np.arange(len(group)), 1
+    while len(i):
+        i = i[i + step < len(group)]
+        j = i + step
+        within = (group[i] == group[j]) & (n[i] >= similarity * n[j] - 1e-9)
+        i, j = i[within], j[within]
+        common = np.minimum(n[i] - place[i], n[j] - place[j])
+        good = (component[i] != component[j]) & (common * (1 + similarity) >= similarity * (n[i] + n[j]) - 1e-6)
+        if good.any():
+            a, b = node[i[good]], node[j[good]]
+            yield np.maximum(a, b), np.minimum(a, b)
+        step += 1
+
+
+def prefix_pairs(rows: DataFrame, similarity: float, known: np.ndarray, counts: np.ndarray, members: int = CELL) -> DataFrame:
+    """Distinct pairs (a, b) from (node, component, n, tokens)."""
+    schema = "token long, cell int, node long, component long, n int, place int"
+    names = ["token", "cell", "node", "component", "n", "place"]
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = [np.frombuffer(x, np.uint64) for x in batch.column(3).to_pylist()]
+            if not lists:
+                continue
+            lengths = np.array([len(x) for x in lists])
+            token = np.concatenate(lists)
+            row = np.repeat(np.arange(len(lists)), lengths)
+            place = np.arange(len(token)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            often, at = found(token, known)
+            cells = np.ones(len(token), np.int64)
+            cells[often] = -(-counts[at[often]] // members)
+            node = batch.column(0).to_numpy()[row]
+            side = (C.mix(node.view(np.uint64)) % cells.astype(np.uint64)).astype(np.int64)
+            # a member of side s goes to the cells (s, k) and (k, s) of the triangle
+            pick = np.repeat(np.arange(len(token)), cells)
+            k = np.arange(len(pick)) - np.repeat(np.cumsum(cells) - cells, cells)
+            cell = np.minimum(side[pick], k) * cells[pick] + np.maximum(side[pick], k)
+            for x in range(0, len(pick), 100_000):
+                p, r = pick[x : x + 100_000], row[pick[x : x + 100_000]]
+                columns = [token[p].view(np.int64), cell[x : x + 100_000].astype(np.int32), node[p], batch.column(1).to_numpy()[r], batch.column(2).to_numpy()[r], place[p].astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def flush(x: pa.Table) -> Iterator[pa.RecordBatch]:
+            c = {name: x.column(name).to_numpy() for name in names}
+            group = np.cumsum(np.concatenate([[False], (c["token"][1:] != c["token"][:-1]) | (c["cell"][1:] != c["cell"][:-1])]))
+            parts, have = [], 0
+            for a, b in bucket_pairs(group, c["node"], c["component"], c["n"], c["place"], similarity):
+                parts.append(np.stack([a, b]))
+                have += len(a)
+                if have >= 200_000:
+                    yield pairs_of(parts)
+                    parts, have = [], 0
+            if parts:
+                yield pairs_of(parts)
+
+        def pairs_of(parts: list[np.ndarray]) -> pa.RecordBatch:
+            a, b = np.unique(np.concatenate(parts, 1), axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= 100_000:
+                x = pa.Table.from_batches(held)
+                same = (x.column("token").to_numpy() == x.column("token")[-1].as_py()) & (x.column("cell").to_numpy() == x.column("cell")[-1].as_py())
+                at = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
+                if at:
+                    yield from flush(x.slice(0, at))
+                    held = x.slice(at).to_batches()
+        if held:
+            yield from flush(pa.Table.from_batches(held))
+
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.select("node", "component", "n", "tokens").mapInArrow(spread, schema).repartition(tasks, "token", "cell").sortWithinPartitions("token", "cell", "n")
+    return dealt.mapInArrow(meet, "a long, b long").distinct()

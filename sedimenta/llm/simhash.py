@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _common as C
+from . import prefixes
 from .components import components, local_labels
 
 BITS = 64
@@ -307,17 +308,8 @@ def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.select("node", "text").mapInArrow(run, "node long, shingles binary")
 
 
-def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, budget: int = 14, recall: float = 0.99, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and component_id of documents that links of the given Jaccard similarity connect.
-
-    Fingerprints of distinct words only propose pairs: two texts with a similarity
-    of 0.8 in five-word shingles differ in few words, so their fingerprints differ in
-    about 4 of 64 bits. A pair is linked when the similarity of its shingle sets
-    says so. Texts without words are one group. Null ids have no group.
-    """
-    prints = C.written(word_prints(docs, size, id_col, text_col).where("doc_id is not null"), "fingerprints")
-    classes = C.written(prints.groupBy("content").agg(F.min("doc_id").alias("node"), F.first("fp").alias("fp")), "classes")
-    pairs = C.written(similar_candidates(classes, budget, recall), "pairs")
+def similar_links(docs: DataFrame, pairs: DataFrame, size: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
+    """The pairs (a, b) whose shingle sets have the Jaccard similarity."""
     involved = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
     texts = C.id_text(docs, id_col, text_col).join(involved.hint("merge"), "doc_id", "left_semi")  # no broadcast at any size: ids grow with the input
     texts = texts.select(F.col("doc_id").alias("node"), "text")
@@ -332,9 +324,34 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, budg
             union = np.array([len(p) + len(q) for p, q in zip(x, y, strict=True)]) - common
             yield batch.filter(pa.array(common >= similarity * union - 1e-9)).select(["a", "b"])
 
-    links = pairs.join(one, "a").join(two, "b").select("a", "b", "one", "two").mapInArrow(linked, "a long, b long")
-    groups = components(links)
-    classes = C.written(classes.join(groups, "node", "left").select(F.col("content").alias("class"), F.coalesce("component", "node").alias("component_id")), "classes")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "one", "two").mapInArrow(linked, "a long, b long")
+
+
+def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, budget: int = 14, recall: float = 0.9, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and component_id of documents that links of the given Jaccard similarity connect.
+
+    Fingerprints of distinct words propose pairs: two texts with a similarity of
+    0.8 in five-word shingles differ in few words, so their fingerprints differ in
+    about 4 of 64 bits. A pair is linked when the similarity of its shingle sets
+    says so. The tries keep only the nearest proposals of each text; links between
+    the components found so are searched by necessary shingles, which misses none.
+    Texts without words are one group. Null ids have no group.
+    """
+    prints = C.written(word_prints(docs, size, id_col, text_col).where("doc_id is not null"), "fingerprints")
+    classes = C.written(prints.groupBy("content").agg(F.min("doc_id").alias("node"), F.first("fp").alias("fp")), "classes")
+    pairs = C.written(similar_candidates(classes, budget, recall), "pairs")
+    groups = components(similar_links(docs, pairs, size, similarity, id_col, text_col))
+    classes = C.written(classes.join(groups, "node", "left").select("node", "content", F.coalesce("component", "node").alias("component")), "classes")
+    texts = C.id_text(docs, id_col, text_col).where("doc_id is not null")
+    known, counts = prefixes.frequent(texts, size)
+    firsts = classes.withColumnRenamed("node", "doc_id").hint("merge")
+    rows = prefixes.prefixes(texts, size, similarity, known).join(firsts, ["doc_id", "content"]).withColumnRenamed("doc_id", "node")
+    rest = C.written(prefixes.prefix_pairs(rows, similarity, known, counts), "pairs")
+    links = similar_links(docs, rest, size, similarity, id_col, text_col)
+    for side in ("a", "b"):  # links between texts become links between components
+        links = links.join(classes.select(F.col("node").alias(side), F.col("component").alias(f"{side}_")), side)
+    groups = components(links.select(F.col("a_").alias("a"), F.col("b_").alias("b"))).select(F.col("node").alias("component"), F.col("component").alias("whole"))
+    classes = C.written(classes.join(groups, "component", "left").select(F.col("content").alias("class"), F.coalesce("whole", "component").alias("component_id")), "classes")
     return prints.join(classes, prints["content"] == classes["class"]).select("doc_id", "component_id")
 
 

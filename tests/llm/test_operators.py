@@ -10,8 +10,9 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from sedimenta.llm import components, cws, decontam, html, langid, packing, pii, quality, registry, secrets, simhash, substring
+from sedimenta.llm import components, cws, decontam, html, langid, packing, pii, prefixes, quality, registry, secrets, simhash, substring
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -131,6 +132,51 @@ def test_similar_groups(spark):
     assert all(c // 10 == i // 10 for i, c in got.items())
 
 
+def brute_similar(rows, size=5, similarity=0.8):
+    sets = {i: {tuple(w[k : k + size]) for k in range(max(1, len(w) - size + 1))} if w else set() for i, w in ((i, t.lower().split()) for i, t in rows)}
+    label = {i: i for i in sets}
+    links = [(i, j) for i in sets for j in sets if j < i and len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]) - 1e-9]
+    for _ in sets:
+        for i, j in links:
+            label[i] = label[j] = min(label[i], label[j])
+    return label
+
+
+def edited_copies(seed):
+    """Texts with a shared passage, and copies at similarities on both sides of the threshold, in chains too."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    passage, rows = [word() for _ in range(30)], [(1, ""), (2, " "), (3, "one two"), (4, "One  two"), (5, "one")]
+    for k in range(1, 16):
+        text = [word() for _ in range(rng.randrange(6, 150))] + passage
+        for e in range(6):
+            rows.append((100 * k + e, " ".join(text)))
+            text = list(text)
+            for at in rng.sample(range(len(text)), max(1, int(len(text) * rng.choice([0.01, 0.02, 0.03])))):
+                text[at] = word()
+    return rows
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_similar_groups_need_no_proposals(spark, seed):
+    rows = edited_copies(seed)
+    got = simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"), budget=0, recall=0.01)
+    assert {r.doc_id: r.component_id for r in got.collect()} == brute_similar(rows)
+
+
+@pytest.mark.parametrize("members", [3, 1000])
+def test_necessary_shingles(spark, members):
+    rows = edited_copies(3)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    known, counts = prefixes.frequent(docs, 5, 1, 4)
+    assert len(known) > 20
+    found = prefixes.prefixes(docs, 5, 0.8, known).withColumnRenamed("doc_id", "node").withColumn("component", F.col("node"))
+    pairs = {(r.a, r.b) for r in prefixes.prefix_pairs(found, 0.8, known, counts, members).collect()}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, w in ((i, t.lower().split()) for i, t in rows) if w}
+    want = {(i, j) for i in sets for j in sets if j < i and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    assert want <= pairs and len(pairs) < len(sets) ** 2 / 8
+
+
 def brute_decontam(docs, items, size=10):
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate({c: c + 32 for c in range(65, 91)}))
     windows = collections.defaultdict(set)
