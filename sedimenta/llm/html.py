@@ -4,10 +4,12 @@ The DOMs of all pages of a host are merged: elements with the same path of tags
 and classes are one style node. Over the pages that have a node, the entropy of
 its contents and of its layouts (with the number of pages as base) gives its
 importance; content that returns on page after page has an importance near 0,
-content of one page only has 1. Low branches are cut from every page of the host.
-Elements whose tag or class states their role (menus, notices, adverts, forms,
-comments ...) are cut as well, and an <article> or <main> element, where a page has
-one, states where the article is.
+content of one page only has 1. Low branches are cut from every page of the host:
+nodes that are low together with every node under them, so no node goes that is
+above a kept one. Elements whose tag or class states their role (menus, notices,
+adverts, forms, comments ...) are cut as well, and an <article> or <main> element,
+where a page has one, states where the article is: its content counts for the
+nodes around it, and importance cuts nothing inside it.
 
 Defined results: a null html is empty, a null url belongs to the host ''; pages
 without text get ''; hosts with few pages are judged by tags and classes only;
@@ -135,16 +137,16 @@ def blocks(page: str) -> list[tuple[str, tuple[int, ...], bool, bool]]:
 
 def extract(page: str, low: set[int]) -> str:
     """The article's blocks, one a line."""
-    own = [b for b in blocks(page) if not b[2] and low.isdisjoint(b[1])]
+    own = [b for b in blocks(page) if not b[2] and (b[3] or low.isdisjoint(b[1]))]
     if any(b[3] for b in own):
         own = [b for b in own if b[3]]
     return "\n".join(b[0] for b in own)
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
-    """(host, node, pages, importance) of the style nodes of all hosts, from columns host and html.
+    """(host, node, above, pages, importance) of the style nodes of all hosts, from columns host and html.
 
-    A leaf node's content importance is 1 less the mean entropy of its texts: a text
+    ``above`` is the path from the root to the node, itself included. A leaf node's content importance is 1 less the mean entropy of its texts: a text
     on k of m pages has entropy log_m k. A layout is the set of nodes under a node.
     """
 
@@ -162,15 +164,19 @@ def style_tree(pages: DataFrame) -> DataFrame:
         for slab in C.slabs(batches, "html"):
             for host, page in zip(slab.column(0).to_pylist(), slab.column(1).to_pylist(), strict=True):
                 seen, under = set(), {}
-                for text, keys, _, article in blocks(page):
-                    if article or not keys:
-                        continue  # where the article is need not be judged
+                for text, keys, _, _ in blocks(page):
+                    if not keys:
+                        continue
                     seen.add((host, keys[-1], 0, xxhash.xxh64_intdigest(text) >> 1, keys))
-                    for a, b in zip(keys, keys[1:], strict=False):
-                        under.setdefault(a, set()).add(b)
-                    under.setdefault(keys[-1], set())
-                for node, children in under.items():
-                    seen.add((host, node, 1, xxhash.xxh64_intdigest(repr(sorted(children))) >> 1, ()))
+                    if keys[-1] in under:
+                        continue  # a key stands for its whole path
+                    for k, node in enumerate(keys):
+                        if node not in under:
+                            under[node] = keys[: k + 1], set()
+                        if k:
+                            under[keys[k - 1]][1].add(node)
+                for node, (above, children) in under.items():
+                    seen.add((host, node, 1, xxhash.xxh64_intdigest(repr(sorted(children))) >> 1, above))
                 rows.update(seen)
             if len(rows) > 200_000:
                 yield out()
@@ -179,21 +185,23 @@ def style_tree(pages: DataFrame) -> DataFrame:
 
     rows = pages.mapInArrow(count, "host string, node long, kind int, what long, above array<long>, n long")
     rows = C.written(rows.groupBy("host", "node", "kind", "what", "above").agg(F.sum("n").alias("n")), "nodes")
-    layout = rows.where("kind = 1").groupBy("host", "node").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.ln("n")).alias("s"), F.count("*").alias("styles"))
+    layout = rows.where("kind = 1").groupBy("host", "node", "above").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.ln("n")).alias("s"), F.count("*").alias("styles"))
     # entropy of layouts: -sum p log_m p, with p = n / m
-    layout = layout.select("host", "node", "m", "styles", F.when(F.col("m") > 1, (F.ln("m") - F.col("s") / F.col("m")) / F.ln("m")).otherwise(1.0).alias("node_imp"))
-    leaf = rows.where("kind = 0").select("host", F.explode("above").alias("node"), "n").groupBy("host", "node").agg(F.sum("n").alias("texts"), F.sum(F.col("n") * F.ln("n")).alias("t"))
+    layout = layout.select("host", "node", "above", "m", "styles", F.when(F.col("m") > 1, (F.ln("m") - F.col("s") / F.col("m")) / F.ln("m")).otherwise(1.0).alias("node_imp"))
+    leaf = rows.where("kind = 0").groupBy("host", "above").agg(F.sum("n").alias("texts"), F.sum(F.col("n") * F.ln("n")).alias("t"))
+    leaf = leaf.select("host", F.explode("above").alias("node"), "texts", "t").groupBy("host", "node").agg(F.sum("texts").alias("texts"), F.sum("t").alias("t"))
     both = layout.join(leaf, ["host", "node"])
     content = F.when(F.col("m") > 1, 1 - F.least(F.col("t") / F.col("texts") / F.ln("m"), F.lit(1.0))).otherwise(1.0)
     weight = F.pow(F.lit(GAMMA), F.col("styles"))
-    return both.select("host", "node", F.col("m").alias("pages"), ((1 - weight) * F.col("node_imp") + weight * content).alias("importance"))
+    return both.select("host", "node", "above", F.col("m").alias("pages"), ((1 - weight) * F.col("node_imp") + weight * content).alias("importance"))
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: float = LEAST, min_pages: int = PAGES) -> DataFrame:
     """page_id, url and text for every row."""
     host = F.lower(F.coalesce(F.regexp_extract(F.col(url_col), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1), F.lit("")))
     pages = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), host.alias("host"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
-    low = style_tree(pages.select("host", "html")).where((F.col("pages") >= min_pages) & (F.col("importance") < least))
+    tree = style_tree(pages.select("host", "html")).withColumn("high", (F.col("pages") < min_pages) | (F.col("importance") >= least))
+    low = tree.select("host", F.explode("above").alias("node"), "high").groupBy("host", "node").agg(F.max("high").alias("high")).where("not high")
     low = C.written(low.groupBy("host").agg(F.collect_list("node").alias("low")), "low")
     small = low.agg(F.sum(F.size("low"))).first()[0] or 0
     joined = pages.join(F.broadcast(low) if small <= C.BROADCAST_ROWS else low, "host", "left").select("page_id", "url", "html", "low")

@@ -336,6 +336,22 @@ def test_main_text(spark):
     assert html.main_text(empty(pages)).count() == 0
 
 
+def test_main_text_keeps_what_is_under_low_nodes(spark):
+    # a body of which nearly all returns on every page, with and without <article>, and one page copied many times
+    shared = "<body><div class='top'><p>Same line</p></div>{}<div class='end'><p>Same end</p></div></body>"
+    article = shared.format("<article><h1>Title {0}</h1><p>Story {0}</p><p>More of {0}</p></article>")
+    menu = "<ul>" + "".join(f"<li>Item {k}</li>" for k in range(15)) + "</ul>"
+    plain = shared.format(menu + "<div class='y'>" + "".join(f"<p>Own {{0}} {k}</p>" for k in range(5)) + "</div>")
+    rows = [(k, "http://article.example/x", article.format(k)) for k in range(20)]
+    rows += [(100 + k, "http://plain.example/x", plain.format(k)) for k in range(20)]
+    rows += [(200 + k, "http://copies.example/x", article.format("copy")) for k in range(20)]
+    got = {r.page_id: r.text for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k in range(20):
+        assert got[k] == f"Title {k}\nStory {k}\nMore of {k}"
+        assert got[100 + k] == "\n".join(f"Own {k} {j}" for j in range(5))
+        assert got[200 + k] == "Title copy\nStory copy\nMore of copy"
+
+
 def test_personal_data(spark):
     text = "é a.b@c.example.com, 10.0.0.1 300.1.1.1, 4111 1111 1111 1111; +1 (458) 555-3863. call (212) 555-0143 now 12345"
     assert [(k, text[a:b]) for k, a, b in pii.base_spans(text)] == [("email", "a.b@c.example.com"), ("ip", "10.0.0.1"), ("card", "4111 1111 1111 1111"), ("phone", "+1 (458) 555-3863")]
