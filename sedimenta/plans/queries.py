@@ -326,6 +326,13 @@ def _(t):
     return rows.select("doc_id", (F.col("i") * 16).alias("at"), F.hex(F.substr(b, (F.col("i") * 16 + 1).cast("int"), F.lit(16))).alias("hex"))
 
 
+@query("q_hexdump_whole", "SELECT doc_id, i * 16 AS at, hex(b[i * 16 + 1:i * 16 + 16]) AS hex FROM (SELECT doc_id, encode(text) AS b, unnest(range(0, (strlen(text) + 15) // 16)) AS i FROM documents)")
+def _(t):
+    lines = F.regexp_extract_all(F.hex(F.col("text").cast("binary")), F.lit(".{1,32}"), F.lit(0))
+    rows = t("documents").select("doc_id", F.posexplode(lines).alias("i", "hex"))
+    return rows.select("doc_id", (F.col("i").cast("long") * 16).alias("at"), "hex")
+
+
 @query("q_fragment_trim", """WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity::BIGINT AS len, sum(l_quantity::BIGINT) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey ROWS UNBOUNDED PRECEDING)::BIGINT AS upto FROM lineitem)
 SELECT l_orderkey, l_linenumber, l_partkey, least(len, 80 - (upto - len)) AS kept FROM r WHERE upto - len < 80""")
 def _(t):
