@@ -313,6 +313,12 @@ def _(t):
     return t("documents").select("doc_id", F.regexp_replace(F.base64(b), "\r\n", "").alias("b64"), F.hex(F.substr("text", F.lit(1), F.lit(32)).cast("binary")).alias("hex"), (F.unbase64(F.base64(b)) == b).alias("same"))
 
 
+@query("q_hex_whole", "SELECT doc_id, hex(encode(text)) AS hex, unhex(hex(encode(text))) = encode(text) AS same FROM documents")
+def _(t):
+    b = F.col("text").cast("binary")
+    return t("documents").select("doc_id", F.hex(b).alias("hex"), (F.unhex(F.hex(b)) == b).alias("same"))
+
+
 @query("q_sanitize", r"""SELECT page_id, array_to_string(list_transform(list_filter(string_split(url, '/'), lambda p: p NOT IN ('', '.', '..')), lambda p: CASE WHEN regexp_replace(regexp_replace(p, '[<>:"/\\|?*]', '_', 'g'), '[. ]+$', '') = '' THEN 'unnamed' ELSE regexp_replace(regexp_replace(p, '[<>:"/\\|?*]', '_', 'g'), '[. ]+$', '')[1:200] END), '/') AS path FROM pages""")
 def _(t):
     return t("pages").select("page_id", scalar.sanitize_path(F.col("url")).alias("path"))

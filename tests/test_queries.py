@@ -38,3 +38,10 @@ def test_hexdump_covers_the_whole_text(spark, tmp_path):
     spark.createDataFrame([*texts.items()], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = sorted(tuple(r) for r in Q.QUERIES["q_hexdump_whole"](spark, str(tmp_path)).select("doc_id", "at", "hex").collect())
     assert got == sorted((i, at, b[at : at + 16].hex().upper()) for i, t in texts.items() for b in [(t or "").encode()] for at in range(0, len(b), 16))
+
+
+def test_hex_covers_the_whole_text(spark, tmp_path):
+    texts = {1: "é漢🙂 " * 40, 2: "x" * 32, 3: "y" * 33, 4: "", 5: None}
+    spark.createDataFrame([*texts.items()], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.hex, r.same) for r in Q.QUERIES["q_hex_whole"](spark, str(tmp_path)).collect()}
+    assert got == {i: (None, None) if t is None else (t.encode().hex().upper(), True) for i, t in texts.items()}
