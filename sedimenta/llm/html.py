@@ -40,7 +40,8 @@ SCOPE = {"ul", "ol", "dl", "table", "article", "section", "div", "main", "body",
 ROLE_TAGS = {"nav", "aside", "footer", "form", "menu", "dialog", "button", "select", "head", "fieldset"}
 ROLE = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banners?|sponsor\w*|promo\w*|cookies?|consent|notices?|popup|modal|newsletter|subscribe|sidebar|side|menu|nav|navbar|navigation|breadcrumbs?|footer|comments?|respond|replies|disqus\w*|related|recommended|share|sharing|social|toolbar|pagination|skip)(?:$|[\s_-])", re.I)
 PAGE_ROLE = re.compile(r"(?:^|[\s_-])(?:header|masthead|topbar|widget)(?:$|[\s_-])", re.I)
-ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+#: Whole attributes as browsers divide them: a name, and a value in quotes or up to the next space.
+ATTRIBUTE = re.compile(r"""([^\s/>=]++)(?:\s*+=\s*+("[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)|[^\s>"'][^\s>]*+))?""")
 #: Importance under which a branch goes, and the pages a host must have for a node to be judged.
 LEAST, PAGES = 0.25, 8
 GAMMA = 0.9
@@ -93,6 +94,8 @@ def blocks(page: str) -> list[tuple[str, tuple[int, ...], bool, bool]]:
                     break  # a stray inline end tag ends no block
             continue
         if tag in RAW:
+            if tag in ("svg", "math") and m[3].endswith("/"):
+                continue  # foreign elements may close themselves
             close = RAW[tag].search(page, at)
             at = close.end() if close else end
             continue
@@ -121,9 +124,10 @@ def blocks(page: str) -> list[tuple[str, tuple[int, ...], bool, bool]]:
         named, hidden = "", False
         if m[3]:
             for name, value in ATTRIBUTE.findall(m[3]):
-                if name.lower() in ("class", "id", "role"):
+                name = name.lower()
+                if name in ("class", "id", "role"):
                     named += " " + value.strip("\"'")
-                else:
+                elif name in ("hidden", "aria-hidden"):
                     hidden = hidden or value.strip("\"'").lower() != "false"
         article = over.article or tag in ("article", "main")
         out = over.out or hidden or tag in ROLE_TAGS or bool(named and ROLE.search(named)) or not article and (tag == "header" or bool(named and PAGE_ROLE.search(named)))

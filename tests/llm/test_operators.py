@@ -352,6 +352,32 @@ def test_main_text_keeps_what_is_under_low_nodes(spark):
         assert got[200 + k] == "Title copy\nStory copy\nMore of copy"
 
 
+@pytest.mark.parametrize(
+    "markup",
+    [
+        "<div style='overflow:hidden'>{}</div>",
+        '<div style="visibility: hidden; a=b">{}</div>',
+        '<div title="The hidden valley">{}</div>',
+        "<div title='a class=\"sidebar\" b'>{}</div>",
+        '<div data-role="share" data-class=menu data-hidden ng-id="comments">{}</div>',
+        "<div data-x=hidden/role=menu>{}</div>",
+        '<div title="{{a > b}} hidden" class=\'x\'>{}</div>',
+        '<div aria-hidden="false">{}</div>',
+        '<p>Icon <svg viewBox="0 0 1 1"/></p>{}',
+        "<p>Icon <math/></p>{}",
+        "<p>Icon <svg class='x' /></p>{}<svg><text>none</text></svg>",
+    ],
+)
+def test_attributes_are_whole_names_and_values(markup):
+    lines = html.extract(f"<body>{markup.format('<p>One</p><p>Two</p>')}<p>Three</p></body>", set()).split("\n")
+    assert [t for t in lines if t != "Icon"] == ["One", "Two", "Three"]
+
+
+@pytest.mark.parametrize("name", ["hidden", "HIDDEN=''", 'aria-hidden="true"', "role = 'navigation'", "class=menu", 'title="x"class="x sidebar"', "id=comments data-x"])
+def test_attributes_that_rule_out(name):
+    assert html.extract(f"<body><div {name}><p>One</p></div><p>Two<svg><text>none</text></svg></p></body>", set()) == "Two"
+
+
 def test_personal_data(spark):
     text = "é a.b@c.example.com, 10.0.0.1 300.1.1.1, 4111 1111 1111 1111; +1 (458) 555-3863. call (212) 555-0143 now 12345"
     assert [(k, text[a:b]) for k, a, b in pii.base_spans(text)] == [("email", "a.b@c.example.com"), ("ip", "10.0.0.1"), ("card", "4111 1111 1111 1111"), ("phone", "+1 (458) 555-3863")]
