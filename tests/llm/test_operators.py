@@ -256,6 +256,19 @@ def test_sampling_rate_is_the_generalised_jaccard_similarity(spark):
     assert abs(np.mean(off)) < 0.04
 
 
+def test_sampling_error_of_each_pair(spark):
+    rng = random.Random(7)
+    word, texts = [f"w{k}" for k in range(4000)], []
+    for _ in range(60):
+        one, share = rng.choices(word, k=300), rng.random()
+        texts += [" ".join(one), " ".join(w if rng.random() < share else rng.choice(word) for w in one)]
+    rows = {r.doc_id: r for r in cws.digests(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for k in range(1, len(texts), 2):
+        a, b = collections.Counter(texts[k].split()), collections.Counter(texts[k - 1].split())
+        like = sum((a & b).values()) / sum((a | b).values())
+        assert abs(rows[k].near_next - like) <= 4 * (like * (1 - like) / 32) ** 0.5 + 1 / 64
+
+
 def test_packing(spark, odd):
     import public_tokenizers as P
     from tokenizers import Tokenizer
