@@ -105,7 +105,7 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
 def packed(pieces: DataFrame, capacity: int = 1024, group_rows: int = 16_000) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to pieces (columns of ``PIECES``)."""
     total = pieces.count()
-    groups = max(1, min(8, total // 2_000), -(-total // group_rows))
+    groups = max(1, -(-total // group_rows))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         order = group.sort_values(["doc_id", "piece", "start", "ids_crc32"], kind="stable", na_position="first", ignore_index=True)

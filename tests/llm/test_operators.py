@@ -295,6 +295,14 @@ def test_packing(spark, odd):
     assert packing.pack_documents(empty(docs)).count() == 0
 
 
+def test_groups_are_split_at_their_bound_only(spark):
+    rng = random.Random(5)
+    rows = [(k, 0, 0, rng.randrange(1, 1025), k) for k in range(9_000)]
+    got = packing.packed(spark.createDataFrame(rows, packing.PIECES)).collect()
+    assert len(got) == 9_000 and {r.sequence_id >> 32 for r in got} == {0}
+    assert len({r.sequence_id >> 32 for r in packing.packed(spark.createDataFrame(rows, packing.PIECES), group_rows=3_000).collect()}) == 3
+
+
 def test_sum_of_squares_places_where_the_sum_is_least():
     rng = random.Random(8)
     sizes, levels = [rng.randrange(1, 21) for _ in range(300)], []
