@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,8 +26,10 @@ BROADCAST_ROWS = 200_000
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share (spark.checkpoint.dir)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:  # only outside a cluster, as in tests
-        folder = os.path.join(tempfile.gettempdir(), f"sedimenta-{os.getuid()}")
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = os.path.join(tempfile.gettempdir(), f"sedimenta-{os.getuid()}")  # a single machine, as in tests
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
@@ -35,7 +38,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write to the shared folder and read back."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.__dict__["written_path"] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by ``written`` that nothing reads any more."""
+    for df in tables:
+        spark, path = df.sparkSession, df.__dict__.get("written_path")
+        if path:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -111,3 +125,49 @@ def rolling(ids: np.ndarray, width: int) -> np.ndarray:
                 n = len(block) - span
                 block, power, span = block[:n] * power + block[span : span + n], power * power, span * 2
         return mix(out[: len(ids) - width + 1])
+
+
+def squeeze(values: np.ndarray) -> bytes:
+    """Unsigned integers as compressed byte planes."""
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T
+    used = max([k + 1 for k in range(len(planes)) if planes[k].any()], default=1)
+    return bytes([used]) + zstandard.ZstdCompressor(level=1).compress(planes[:used].tobytes())
+
+
+def unsqueeze(data: bytes, kind: type, n: int) -> np.ndarray:
+    out = np.zeros((n, np.dtype(kind).itemsize), np.uint8)
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:], max_output_size=max(1, n * data[0])), np.uint8)
+    out[:, : data[0]] = raw.reshape(data[0], n).T
+    return out.view(kind).ravel()
+
+
+class Bloom:
+    """A set of longs that may say yes too often: 16 bits for each, at most 2**27 (16 MB) in all; beyond, it only lets more through."""
+
+    def __init__(self, bits: int, word: np.ndarray, mask: np.ndarray) -> None:
+        self.bits, self.words = bits, np.zeros(max(1, (1 << bits) >> 6), np.uint64)
+        self.words[word] = mask
+
+    @classmethod
+    def of(cls, rows: DataFrame, column: str, most: int = 27) -> Bloom:
+        """From a column of a written table; its words reach the driver, at most 2**21 of them."""
+        bits = min(most, max(10, (16 * rows.count()).bit_length()))
+
+        def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at = np.unique(place(batch.column(0).drop_null().to_numpy(), bits))
+                mask = np.uint64(1) << (at & np.uint64(63))
+                yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int32)), pa.array(mask.view(np.int64))], names=["word", "mask"])
+
+        got = rows.select(column).mapInArrow(places, "word int, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
+        return cls(bits, got.column("word").to_numpy(), got.column("mask").to_numpy().view(np.uint64))
+
+    def may_have(self, values: np.ndarray) -> np.ndarray:
+        at = place(values, self.bits)
+        return self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1) == 1
+
+
+def place(values: np.ndarray, bits: int) -> np.ndarray:
+    """One of 2**bits places for each long."""
+    with np.errstate(over="ignore"):
+        return mix(values.view(np.uint64) ^ np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)

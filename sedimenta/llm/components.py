@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import written
+from ._common import discard, written
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -22,9 +22,10 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         both = links.unionByName(links.select(b.alias("a"), a.alias("b")))
         least = written(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "least")
         large = written(both.join(least, "a").where(b > a).select(b.alias("a"), F.col("m").alias("b")).where(a != b).distinct(), "large")
-        least = written(large.groupBy("a").agg(F.min("b").alias("m")), "least")
-        small = large.join(least, "a").where(b != F.col("m")).select(F.greatest(b, F.col("m")).alias("a"), F.least(b, F.col("m")).alias("b"))
-        links = written(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "links")
+        lower = written(large.groupBy("a").agg(F.min("b").alias("m")), "least")
+        small = large.join(lower, "a").where(b != F.col("m")).select(F.greatest(b, F.col("m")).alias("a"), F.least(b, F.col("m")).alias("b"))
+        before, links = links, written(small.unionByName(lower.select("a", F.col("m").alias("b"))).distinct(), "links")
+        discard(before, least, large, lower)
         now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == mark:
             break
@@ -32,6 +33,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError("components did not settle")
     nodes = links.select(a.alias("node"), b.alias("component"))
+    nodes.__dict__["written_path"] = links.__dict__["written_path"]
     return nodes
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _common as C
-from . import prefixes
+from . import families
 from .components import components, local_labels
 
 BITS = 64
@@ -175,21 +175,29 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def word_prints(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, SimHash of the distinct words, and a hash of the shingle set's order-free content."""
+    """doc_id, SimHash of the distinct words, and a hash of all words in order; beside them, with a segment, parts of the sketch of shingles."""
+    names = ["doc_id", "fp", "content", "segment", "counts"]
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = C.WordIds(42)
+        table, sketch = C.WordIds(42), families.Sketch()
         for slab in C.slabs(batches):
-            prints, contents = [], []
+            prints, contents, met = [], [], []
             for text in slab.column(1).cast(pa.binary()).to_pylist():
                 words = text.lower().split()
-                own = np.unique(table.of(words))
+                ids = table.of(words)
+                own = np.unique(ids)
                 ones = np.unpackbits(own.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64) if len(own) else np.zeros(BITS, np.int64)
                 prints.append(int.from_bytes(np.packbits(2 * ones > len(own)).tobytes(), "big"))
                 contents.append(xxhash.xxh64_intdigest(b" ".join(words), 7))
-            yield pa.RecordBatch.from_arrays([slab.column(0), *[pa.array(np.array(x, np.uint64).view(np.int64)) for x in (prints, contents)]], names=["doc_id", "fp", "content"])
+                met.append(np.unique(C.rolling(ids, min(size, max(1, len(ids))))))
+            sketch.add(np.concatenate(met))
+            none = [pa.nulls(len(prints), t) for t in kinds[3:]]
+            yield pa.RecordBatch.from_arrays([slab.column(0), *[pa.array(np.array(x, np.uint64).view(np.int64)) for x in (prints, contents)], *none], names=names)
+        if parts := sketch.segments():
+            yield pa.RecordBatch.from_arrays([*[pa.nulls(len(parts), t) for t in kinds[:3]], *[pa.array(x, t) for x, t in zip(zip(*parts, strict=True), kinds[3:], strict=True)]], names=names)
 
-    return C.id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long, content long")
+    return C.id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long, content long, segment int, counts binary")
 
 
 def turned_keys(key: np.ndarray, order: np.ndarray) -> np.ndarray:
@@ -293,27 +301,28 @@ def similar_candidates(prints: DataFrame, budget: int, recall: float, apart: int
     return rows.repartition(tasks, "trie", "root").sortWithinPartitions("trie", "root").mapInArrow(run, "a long, b long").distinct()
 
 
-def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
-    """node and its distinct shingles as sorted 32-bit hashes, from columns node and text."""
+def shingle_sets(docs: DataFrame, nodes: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
+    """(node, shingles) of the documents that ``nodes`` (a written table with column node) names: sorted distinct 32-bit hashes."""
+    wanted = docs.sparkSession.sparkContext.broadcast(C.Bloom.of(nodes, "node"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = C.WordIds(42)
         for slab in C.slabs(batches):
+            slab = slab.filter(pa.array(wanted.value.may_have(slab.column(0).to_numpy())))
             sets = []
             for text in slab.column(1).cast(pa.binary()).to_pylist():
                 ids = table.of(text.lower().split())
                 sets.append(np.unique((C.rolling(ids, min(size, max(1, len(ids)))) >> np.uint64(32)).astype(np.uint32)).tobytes())
             yield pa.RecordBatch.from_arrays([slab.column(0), pa.array(sets, pa.binary())], names=["node", "shingles"])
 
-    return docs.select("node", "text").mapInArrow(run, "node long, shingles binary")
+    sets = C.id_text(docs, id_col, text_col).where("doc_id is not null").mapInArrow(run, "node long, shingles binary")
+    return C.written(sets.dropDuplicates().join(nodes.select("node").distinct().hint("merge"), "node", "left_semi"), "shingles")
 
 
 def similar_links(docs: DataFrame, pairs: DataFrame, size: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (a, b) whose shingle sets have the Jaccard similarity."""
-    involved = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = C.id_text(docs, id_col, text_col).join(involved.hint("merge"), "doc_id", "left_semi")  # no broadcast at any size: ids grow with the input
-    texts = texts.select(F.col("doc_id").alias("node"), "text")
-    sets = C.written(shingle_sets(texts, size), "shingles")
+    """The pairs (a, b), of a written table, whose shingle sets have the Jaccard similarity."""
+    nodes = C.written(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "nodes")
+    sets = shingle_sets(docs, nodes, size, id_col, text_col)
     one, two = sets.select(F.col("node").alias("a"), F.col("shingles").alias("one")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("two"))
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -324,7 +333,9 @@ def similar_links(docs: DataFrame, pairs: DataFrame, size: int, similarity: floa
             union = np.array([len(p) + len(q) for p, q in zip(x, y, strict=True)]) - common
             yield batch.filter(pa.array(common >= similarity * union - 1e-9)).select(["a", "b"])
 
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "one", "two").mapInArrow(linked, "a long, b long")
+    links = C.written(pairs.join(one, "a").join(two, "b").select("a", "b", "one", "two").mapInArrow(linked, "a long, b long"), "similar")
+    C.discard(nodes, sets)
+    return links
 
 
 def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, budget: int = 14, recall: float = 0.9, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -334,24 +345,30 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, budg
     0.8 in five-word shingles differ in few words, so their fingerprints differ in
     about 4 of 64 bits. A pair is linked when the similarity of its shingle sets
     says so. The tries keep only the nearest proposals of each text; links between
-    the components found so are searched by necessary shingles, which misses none.
-    Texts without words are one group. Null ids have no group.
+    the components found so are searched in families of texts that share a necessary
+    shingle, which misses none. Texts without words are one group. Null ids have no group.
     """
-    prints = C.written(word_prints(docs, size, id_col, text_col).where("doc_id is not null"), "fingerprints")
+    rows = C.written(word_prints(docs, size, id_col, text_col), "fingerprints")
+    counts = families.summed(rows.where("segment is not null").select("segment", "counts"))
+    prints = rows.where("segment is null and doc_id is not null").select("doc_id", "fp", "content")
     classes = C.written(prints.groupBy("content").agg(F.min("doc_id").alias("node"), F.first("fp").alias("fp")), "classes")
     pairs = C.written(similar_candidates(classes, budget, recall), "pairs")
-    groups = components(similar_links(docs, pairs, size, similarity, id_col, text_col))
-    classes = C.written(classes.join(groups, "node", "left").select("node", "content", F.coalesce("component", "node").alias("component")), "classes")
+    links = similar_links(docs, pairs, size, similarity, id_col, text_col)
+    groups = components(links)
+    known = C.written(classes.join(groups, "node", "left").select("node", "content", F.coalesce("component", "node").alias("component")), "classes")
+    C.discard(pairs, links, groups, classes)
     texts = C.id_text(docs, id_col, text_col).where("doc_id is not null")
-    known, counts = prefixes.frequent(texts, size)
-    firsts = classes.withColumnRenamed("node", "doc_id").hint("merge")
-    rows = prefixes.prefixes(texts, size, similarity, known).join(firsts, ["doc_id", "content"]).withColumnRenamed("doc_id", "node")
-    rest = C.written(prefixes.prefix_pairs(rows, similarity, known, counts), "pairs")
-    links = similar_links(docs, rest, size, similarity, id_col, text_col)
+    firsts = families.necessary(texts, size, similarity, counts).dropDuplicates(["doc_id", "content"])
+    firsts = firsts.join(known.withColumnRenamed("node", "doc_id").hint("merge"), ["doc_id", "content"]).where("n > 0")
+    firsts = C.written(firsts.select(F.col("doc_id").alias("node"), "component", "n", "tokens"), "necessary")
+    members = families.families(firsts)
+    sets = shingle_sets(docs, members, size, id_col, text_col)
+    links = C.written(families.verified(families.cells(members).join(sets, "node"), similarity), "links")
     for side in ("a", "b"):  # links between texts become links between components
-        links = links.join(classes.select(F.col("node").alias(side), F.col("component").alias(f"{side}_")), side)
+        links = links.join(known.select(F.col("node").alias(side), F.col("component").alias(f"{side}_")), side)
     groups = components(links.select(F.col("a_").alias("a"), F.col("b_").alias("b"))).select(F.col("node").alias("component"), F.col("component").alias("whole"))
-    classes = C.written(classes.join(groups, "component", "left").select(F.col("content").alias("class"), F.coalesce("whole", "component").alias("component_id")), "classes")
+    C.discard(firsts, members, sets)
+    classes = C.written(known.join(groups, "component", "left").select(F.col("content").alias("class"), F.coalesce("whole", "component").alias("component_id")), "classes")
     return prints.join(classes, prints["content"] == classes["class"]).select("doc_id", "component_id")
 
 

@@ -28,11 +28,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _common as C
+from ._common import squeeze, unsqueeze
 
 #: Stands for a null id within the operator.
 NO_ID = np.iinfo(np.int64).max
@@ -43,20 +43,6 @@ GROUP_WORDS = 1_500_000
 PROBE_BITS = 44
 
 
-def squeeze(values: np.ndarray) -> bytes:
-    """Unsigned integers as compressed byte planes."""
-    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T
-    used = max([k + 1 for k in range(len(planes)) if planes[k].any()], default=1)
-    return bytes([used]) + zstandard.ZstdCompressor(level=1).compress(planes[:used].tobytes())
-
-
-def unsqueeze(data: bytes, kind: type, n: int) -> np.ndarray:
-    out = np.zeros((n, np.dtype(kind).itemsize), np.uint8)
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:], max_output_size=max(1, n * data[0])), np.uint8)
-    out[:, : data[0]] = raw.reshape(data[0], n).T
-    return out.view(kind).ravel()
-
-
 def gaps(values: np.ndarray) -> bytes:
     return squeeze(np.diff(values, prepend=np.uint64(0)))
 

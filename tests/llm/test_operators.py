@@ -12,7 +12,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sedimenta.llm import components, cws, decontam, html, langid, packing, pii, prefixes, quality, registry, secrets, simhash, substring
+from sedimenta.llm import _common as C
+from sedimenta.llm import components, cws, decontam, families, html, langid, packing, pii, quality, registry, secrets, simhash, substring
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -164,17 +165,83 @@ def test_similar_groups_need_no_proposals(spark, seed):
     assert {r.doc_id: r.component_id for r in got.collect()} == brute_similar(rows)
 
 
-@pytest.mark.parametrize("members", [3, 1000])
-def test_necessary_shingles(spark, members):
-    rows = edited_copies(3)
+def sets_of(rows, size=5):
+    return {i: {tuple(w[k : k + size]) for k in range(max(1, len(w) - size + 1))} for i, w in ((i, t.lower().split()) for i, t in rows) if w}
+
+
+def alike(a, b, similarity=0.8):
+    return len(a & b) >= similarity * len(a | b) - 1e-9
+
+
+def links_by_families(spark, rows, component, side_members):
+    """Links, and rows of the cells, of texts whose known components are given."""
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    known, counts = prefixes.frequent(docs, 5, 1, 4)
-    assert len(known) > 20
-    found = prefixes.prefixes(docs, 5, 0.8, known).withColumnRenamed("doc_id", "node").withColumn("component", F.col("node"))
-    pairs = {(r.a, r.b) for r in prefixes.prefix_pairs(found, 0.8, known, counts, members).collect()}
-    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, w in ((i, t.lower().split()) for i, t in rows) if w}
-    want = {(i, j) for i in sets for j in sets if j < i and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
-    assert want <= pairs and len(pairs) < len(sets) ** 2 / 8
+    prints = C.written(simhash.word_prints(docs, 5, "doc_id", "text"), "prints")
+    counts = families.summed(prints.where("segment is not null").select("segment", "counts"))
+    known = spark.createDataFrame([(i, component[i]) for i, _ in rows], "node long, component long")
+    firsts = families.necessary(docs, 5, 0.8, counts).where("n > 0").withColumnRenamed("doc_id", "node").join(known, "node")
+    members = families.families(C.written(firsts.select("node", "component", "n", "tokens"), "firsts"))
+    cells = C.written(families.cells(members, side_members), "cells")
+    sets = simhash.shingle_sets(docs, members, 5, "doc_id", "text")
+    return {(r.a, r.b) for r in families.verified(cells.join(sets, "node"), 0.8).collect()}, cells.count()
+
+
+@pytest.mark.parametrize("side_members", [3, 20, 1000])
+def test_families_span_all_similar_pairs(spark, side_members):
+    rows = edited_copies(3)
+    sets = sets_of(rows)
+    component = {i: i // 100 * 100 if i % 100 in (0, 1, 4) and i > 400 else i for i, _ in rows}
+    got, _ = links_by_families(spark, rows, component, side_members)
+    assert all(alike(sets[a], sets[b]) for a, b in got)
+
+    def closed(links):
+        label = dict(component)
+        for _ in rows:
+            for a, b in links:
+                low, high = sorted((label[a], label[b]))
+                label = {k: low if v == high else v for k, v in label.items()} if low != high else label
+        return {frozenset(k for k, v in label.items() if v == c) for c in set(label.values())}
+
+    assert closed(got) == closed([(i, j) for i in sets for j in sets if j < i and alike(sets[i], sets[j])])
+
+
+def test_a_family_just_below_the_threshold_has_rows_in_proportion(spark):
+    rng = random.Random(9)
+    base, made = [f"b{k}" for k in range(200)], []
+    for n in (200, 400):
+        rows = []
+        for i in range(n):  # any two of them have a similarity of about 0.73
+            own = list(base)
+            for at in rng.sample(range(5, 195), 3):
+                own[at] = f"own{i}x{at}"
+            rows.append((i, " ".join(own)))
+        sets = sets_of(rows)
+        want = [(i, j) for i in sets for j in sets if j < i and alike(sets[i], sets[j])]
+        got, cells = links_by_families(spark, rows, {i: i for i in range(n)}, 1000)
+        assert len(got) < n and set(got) <= set(want) and len({i for p in want for i in p}) == len({i for p in got for i in p})
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        prints = C.written(simhash.word_prints(docs, 5, "doc_id", "text").where("segment is null"), "prints")
+        proposed = simhash.similar_candidates(prints.selectExpr("doc_id as node", "fp"), 14, 0.9).count()
+        made.append((cells, proposed))
+    assert made[0][0] == 200 and made[1][0] == 400 and made[1][1] <= 2.5 * made[0][1]
+
+
+def test_cells_compare_a_large_component_with_others_only(spark):
+    rows = [(i, 0 if i < 90 else i, 10, 0) for i in range(100)]
+    cells = families.cells(spark.createDataFrame(rows, "node long, component long, n int, family long"), 30).collect()
+    met = collections.defaultdict(lambda: (set(), set()))
+    for r in cells:
+        met[r.cell][r.side].add(r.node)
+    pairs = set()
+    for one, two in met.values():
+        pairs |= {frozenset((a, b)) for a in one for b in (two or one) if a != b}
+    assert pairs >= {frozenset((a, b)) for a in range(100) for b in range(90, 100) if a != b} and len(cells) < 200
+
+
+def test_bloom_has_all_that_was_put_in(spark):
+    put = np.random.default_rng(1).integers(-(1 << 62), 1 << 62, 5_000)
+    bloom = C.Bloom.of(C.written(spark.createDataFrame([(int(x),) for x in put], "x long"), "put"), "x")
+    assert bloom.may_have(put).all() and bloom.may_have(put + 1).mean() < 0.1
 
 
 def brute_decontam(docs, items, size=10):
