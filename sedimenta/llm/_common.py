@@ -80,6 +80,30 @@ def slabs(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = 4
             at = to
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 100_000, size: int = 64 << 20) -> Iterator[pa.Table]:
+    """Tables of about ``rows`` rows or ``size`` bytes that never part rows of equal keys, from batches sorted by the keys."""
+    held: list[pa.RecordBatch] = []
+    n = have = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        n, have = n + batch.num_rows, have + batch.nbytes
+        if n >= rows or have >= size:
+            x = pa.Table.from_batches(held)
+            other = np.zeros(x.num_rows, bool)
+            for key in keys:
+                column = x.column(key).to_numpy()
+                other |= column != column[-1]
+            if other.any():
+                at = int(np.flatnonzero(other)[-1]) + 1
+                yield x.slice(0, at)
+                held = x.slice(at).combine_chunks().to_batches()
+            n, have = sum(b.num_rows for b in held), sum(b.nbytes for b in held)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 class WordIds(dict):
     """64-bit ids of words (bytes); emptied when full, so its memory is bounded."""
 

@@ -6,13 +6,15 @@ order, so passages that many documents share seldom index anything. How frequent
 shingle is comes from a count sketch of fixed size over all documents; it affects
 only the order, and so the cost, never the links.
 
-Texts that share a necessary shingle belong to one family (linked by one row a member
-and shingle, never one a pair); shingles whose texts all lie in one known component
-need no work. A family's members are dealt to sides of bounded size, and cells of two
-sides compare their members in memory, by inverted lists of their shingles. Members
-that are linked are never compared with each other again, and a cell returns only the
-links of a spanning forest, so no table grows with the square of a family. A component
-too large for a side is dealt over several; these are not compared with each other.
+Shingles whose texts all lie in one known component need no work. Of the others each
+proposes the pairs whose sizes and places allow the similarity. A shingle that would
+propose more than EACH pairs a text, or that too many texts have for one task, makes a
+family of its texts instead, by one row a text. A family's members are dealt to sides of
+bounded size, and cells of two sides compare their members in memory, by inverted lists
+of all their shingles. Members that are linked are never compared with each other again,
+and a cell returns only the links of a spanning forest, so no table grows with the
+square of a family. A component too large for a side is dealt over several; these are
+not compared with each other.
 """
 
 from __future__ import annotations
@@ -34,6 +36,8 @@ SKETCH_BITS = 20
 SEGMENTS = 64
 #: Members, and shingles of all members, of one side of a cell.
 SIDE_MEMBERS, SIDE_SHINGLES = 1_000, 1_000_000
+#: Pairs that a shingle may propose for each text that has it, and texts of a shingle that one task compares.
+EACH, BUCKET = 2, 5_000
 
 
 def shingles(words: list[bytes], size: int, table: C.WordIds) -> np.ndarray:
@@ -92,41 +96,96 @@ def necessary(docs: DataFrame, size: int, similarity: float, counts: np.ndarray)
     return docs.mapInArrow(run, "doc_id long, content long, n int, tokens binary")
 
 
-def token_rows(rows: DataFrame, wanted: C.Bloom | None = None) -> DataFrame:
-    """(token, node, component) from (node, component, n, tokens), only tokens that may be wanted."""
-    sent = rows.sparkSession.sparkContext.broadcast(wanted)
+def token_rows(rows: DataFrame, wanted: C.Bloom | None = None, large: C.Bloom | None = None) -> DataFrame:
+    """(token, node, component, n, place, large) from (node, component, n, tokens), only tokens that may be wanted."""
+    sent = rows.sparkSession.sparkContext.broadcast((wanted, large))
+    names = ["token", "node", "component", "n", "place", "large"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted, large = sent.value
         for batch in batches:
-            lists = [np.frombuffer(x, np.int64) for x in batch.column(2).to_pylist()]
+            lists = [np.frombuffer(x, np.int64) for x in batch.column(3).to_pylist()]
             if not lists:
                 continue
-            row, token = np.repeat(np.arange(len(lists)), [len(x) for x in lists]), np.concatenate(lists)
-            if sent.value is not None:
-                keep = sent.value.may_have(token)
-                row, token = row[keep], token[keep]
+            sizes = np.array([len(x) for x in lists])
+            row, token = np.repeat(np.arange(len(lists)), sizes), np.concatenate(lists)
+            place = (np.arange(len(token)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
+            if wanted is not None:
+                keep = wanted.may_have(token)
+                row, token, place = row[keep], token[keep], place[keep]
+            many = large.may_have(token) if large is not None else np.zeros(len(token), bool)
             for a in range(0, len(token), 100_000):
-                at = pa.array(row[a : a + 100_000])
-                yield pa.RecordBatch.from_arrays([pa.array(token[a : a + 100_000]), batch.column(0).take(at), batch.column(1).take(at)], names=["token", "node", "component"])
+                at, part = pa.array(row[a : a + 100_000]), slice(a, a + 100_000)
+                yield pa.RecordBatch.from_arrays([pa.array(token[part]), *[batch.column(k).take(at) for k in range(3)], pa.array(place[part]), pa.array(many[part])], names=names)
+
+    return rows.select("node", "component", "n", "tokens").mapInArrow(run, "token long, node long, component long, n int, place int, large boolean")
+
+
+def bucket_pairs(group: np.ndarray, component: np.ndarray, n: np.ndarray, place: np.ndarray, similarity: float, each: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (i, j) within groups (rows sorted by group, then n) of different components whose sizes and places allow
+    the similarity; groups with more than ``each`` pairs a member are returned as a mask of rows instead."""
+    n = n.astype(np.int64)
+    members = np.bincount(group)
+    count, crowded = np.zeros(len(members), np.int64), np.zeros(len(members), bool)
+    i, step, found = np.arange(len(group)), 1, [np.empty((2, 0), np.int64)]
+    while len(i):
+        i = i[i + step < len(group)]
+        j = i + step
+        within = (group[i] == group[j]) & (n[i] >= similarity * n[j] - 1e-9) & ~crowded[group[i]]
+        i, j = i[within], j[within]
+        common = np.minimum(n[i] - place[i], n[j] - place[j])
+        good = (component[i] != component[j]) & (common * (1 + similarity) >= similarity * (n[i] + n[j]) - 1e-6)
+        if good.any():
+            found.append(np.stack([i[good], j[good]]))
+            count += np.bincount(group[i[good]], minlength=len(count))
+            crowded = count > each * members
+        step += 1
+    pairs = np.concatenate(found, 1)
+    pairs = pairs[:, ~crowded[group[pairs[0]]]]
+    return pairs[0], pairs[1], crowded[group]
+
+
+def candidates(rows: DataFrame, similarity: float, each: int = EACH, most: int = BUCKET) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) to verify, at most ``each`` for a member and shingle, and the members of families too dense for that, from (node, component, n, tokens)."""
+    indexed = F.col("place") <= F.col("n") - F.ceil(2 * similarity / (1 + similarity) * F.col("n") - 1e-9)  # the smaller of two similar sets has the shingle as early
+    mixed = token_rows(rows).groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("node").alias("first"), F.count("*").alias("members"), F.max(indexed).alias("indexed"))
+    mixed = C.written(mixed.where("low <> high and indexed").select("token", "first", "members"), "mixed")
+    many = C.written(mixed.where(F.col("members") > most), "large")
+    met = token_rows(rows, C.Bloom.of(mixed, "token"), C.Bloom.of(many, "token"))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(dense: bool, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+            both = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)]), axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(both.shape[1], dense)), pa.array(both[0]), pa.array(both[1])], names=["dense", "a", "b"])
+
+        for x in C.whole_groups(batches, ["token"]):
+            c = {name: x.column(name).to_numpy() for name in ("token", "node", "component", "n", "place")}
+            group = np.cumsum(np.concatenate([[False], c["token"][1:] != c["token"][:-1]]))
+            start = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+            mixed_ = (np.minimum.reduceat(c["component"], start) != np.maximum.reduceat(c["component"], start))[group]
+            c = {name: v[mixed_] for name, v in c.items()}
+            group = np.unique(group[mixed_], return_inverse=True)[1]
+            i, j, crowded = bucket_pairs(group, c["component"], c["n"], c["place"], similarity, each)
+            if len(i):
+                yield out(False, c["node"][i], c["node"][j])
+            at = np.flatnonzero(crowded)
+            if len(at):  # a chain in order of size, broken where no two sizes around the gap allow the similarity
+                near = (group[at[1:]] == group[at[:-1]]) & (c["n"][at[:-1]] >= similarity * c["n"][at[1:]] - 1e-9)
+                head = np.maximum.accumulate(np.where(np.concatenate([[True], ~near]), np.arange(len(at)), 0))
+                yield out(True, c["node"][at], c["node"][at[head]])
 
-    return rows.select("node", "component", "tokens").mapInArrow(run, "token long, node long, component long")
-
-
-def families(rows: DataFrame) -> DataFrame:
-    """(node, component, n, family) of texts that share a necessary shingle with another component, from (node, component, n, tokens)."""
-    mixed = token_rows(rows).groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("node").alias("first"))
-    mixed = C.written(mixed.where("low <> high").select("token", "first"), "mixed")
-    met = token_rows(rows, C.Bloom.of(mixed, "token")).join(mixed, "token").select(F.col("node").alias("a"), F.col("first").alias("b"))
-    links = C.written(met.distinct(), "families")
-    C.discard(mixed)
-    groups = components(links)
-    nodes = links.select(F.col("a").alias("node")).distinct()  # the first of each shingle is among them
-    own = rows.select("node", "component", "n").groupBy("node").agg(F.min("component").alias("component"), F.max("n").alias("n"))
-    groups = groups.withColumnRenamed("component", "family")
-    out = nodes.join(groups, "node", "left").join(own.hint("merge"), "node").select("node", "component", "n", F.coalesce("family", "node").alias("family"))
-    out = C.written(out, "members")
-    C.discard(links)
-    return out
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = met.where("not large").drop("large").repartition(tasks, "token").sortWithinPartitions("token", "n").mapInArrow(meet, "dense boolean, a long, b long")
+    found = C.written(found.distinct(), "candidates")
+    stars = met.where("large").select("token", F.col("node").alias("a")).join(mixed.select("token", F.col("first").alias("b")), "token").select("a", "b")
+    links = C.written(found.where("dense").select("a", "b").unionByName(stars).distinct(), "families")
+    groups = components(links).withColumnRenamed("component", "family")
+    nodes = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
+    own = rows.groupBy("node").agg(F.min("component").alias("component"), F.max("n").alias("n"))
+    members = nodes.join(groups, "node", "left").join(own.hint("merge"), "node").select("node", "component", "n", F.coalesce("family", "node").alias("family"))
+    members = C.written(members, "members")
+    C.discard(mixed, many, links)
+    return found.where("not dense").select("a", "b"), members
 
 
 def cells(members: DataFrame, side_members: int = SIDE_MEMBERS, side_shingles: int = SIDE_SHINGLES) -> DataFrame:
@@ -221,10 +280,7 @@ def verified(rows: DataFrame, similarity: float, held_bytes: int = 16 << 20) ->
     """Links (a, b) between nodes, from (cell, side, node, component, shingles)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        have = 0
-
-        def flush(x: pa.Table) -> Iterator[pa.RecordBatch]:
+        for x in C.whole_groups(batches, ["cell"], 1 << 62, held_bytes):
             c = {k: x.column(k).to_numpy() for k in ("cell", "side", "node", "component")}
             sets = [np.frombuffer(s, np.uint32) for s in x.column("shingles").to_pylist()]
             edge = np.flatnonzero(np.concatenate([[True], c["cell"][1:] != c["cell"][:-1], [True]]))
@@ -234,22 +290,5 @@ def verified(rows: DataFrame, similarity: float, held_bytes: int = 16 << 20) ->
                     ends = c["node"][a:b][links]
                     yield pa.RecordBatch.from_arrays([pa.array(ends.max(1)), pa.array(ends.min(1))], names=["a", "b"])
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(batch)
-            have += batch.nbytes
-            if have >= held_bytes:
-                x = pa.Table.from_batches(held)
-                cell = x.column("cell").to_numpy()
-                other = np.flatnonzero(cell != cell[-1])
-                if len(other):
-                    at = int(other[-1]) + 1
-                    yield from flush(x.slice(0, at))
-                    held = x.slice(at).to_batches()
-                have = sum(b.nbytes for b in held)
-        if held:
-            yield from flush(pa.Table.from_batches(held))
-
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return rows.select("cell", "side", "node", "component", "shingles").repartition(tasks, "cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long")

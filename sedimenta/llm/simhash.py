@@ -132,28 +132,12 @@ def trie_links(prints: DataFrame, budget: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Whole roots are gathered until there are enough rows for one traversal."""
-        held: list[pa.RecordBatch] = []
-
-        def flush(x: pa.Table) -> Iterator[pa.RecordBatch]:
+        for x in C.whole_groups(batches, ["trie", "root"]):
             tries = x.column("trie").to_numpy()
             for t in np.unique(tries):
                 sel = tries == t
                 yield links(int(t), x.column("node").to_numpy()[sel], x.column("key").to_numpy()[sel].view(np.uint64))
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(batch)
-            if sum(b.num_rows for b in held) >= 100_000:
-                x = pa.Table.from_batches(held)
-                same = (x.column("trie").to_numpy() == x.column("trie")[-1].as_py()) & (x.column("root").to_numpy() == x.column("root")[-1].as_py())
-                at = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
-                if at:
-                    yield from flush(x.slice(0, at))
-                    held = x.slice(at).to_batches()
-        if held:
-            yield from flush(pa.Table.from_batches(held))
-
     return dealt.mapInArrow(run, "a long, b long")
 
 
@@ -258,8 +242,6 @@ def similar_candidates(prints: DataFrame, budget: int, recall: float, apart: int
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), t, np.int32)), pa.array((k >> np.uint64(BITS - depth)).astype(np.int64)), pa.array(k.view(np.int64)), pa.array(node)], names=["trie", "root", "key", "node"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
         def flush(x: pa.Table) -> Iterator[pa.RecordBatch]:
             tries = x.column("trie").to_numpy()
             for t in np.unique(tries):
@@ -282,19 +264,8 @@ def similar_candidates(prints: DataFrame, budget: int, recall: float, apart: int
                 a, b = np.append(node[one[keep]], node[one[start]]), np.append(node[two[keep]], node[np.minimum.reduceat(two, start)])
                 yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(batch)
-            if sum(b.num_rows for b in held) >= 100_000:
-                x = pa.Table.from_batches(held)
-                same = (x.column("trie").to_numpy() == x.column("trie")[-1].as_py()) & (x.column("root").to_numpy() == x.column("root")[-1].as_py())
-                at = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
-                if at:
-                    yield from flush(x.slice(0, at))
-                    held = x.slice(at).to_batches()
-        if held:
-            yield from flush(pa.Table.from_batches(held))
+        for x in C.whole_groups(batches, ["trie", "root"]):
+            yield from flush(x)
 
     tasks = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = prints.select("node", "fp").mapInArrow(spread, "trie int, root long, key long, node long")
@@ -345,8 +316,7 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, budg
     0.8 in five-word shingles differ in few words, so their fingerprints differ in
     about 4 of 64 bits. A pair is linked when the similarity of its shingle sets
     says so. The tries keep only the nearest proposals of each text; links between
-    the components found so are searched in families of texts that share a necessary
-    shingle, which misses none. Texts without words are one group. Null ids have no group.
+    the components found so are searched by necessary shingles, which misses none. Texts without words are one group. Null ids have no group.
     """
     rows = C.written(word_prints(docs, size, id_col, text_col), "fingerprints")
     counts = families.summed(rows.where("segment is not null").select("segment", "counts"))
@@ -361,9 +331,11 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, budg
     firsts = families.necessary(texts, size, similarity, counts).dropDuplicates(["doc_id", "content"])
     firsts = firsts.join(known.withColumnRenamed("node", "doc_id").hint("merge"), ["doc_id", "content"]).where("n > 0")
     firsts = C.written(firsts.select(F.col("doc_id").alias("node"), "component", "n", "tokens"), "necessary")
-    members = families.families(firsts)
+    pairs, members = families.candidates(firsts, similarity)
+    links = similar_links(docs, C.written(pairs, "pairs"), size, similarity, id_col, text_col)
     sets = shingle_sets(docs, members, size, id_col, text_col)
-    links = C.written(families.verified(families.cells(members).join(sets, "node"), similarity), "links")
+    links = links.unionByName(families.verified(families.cells(members).join(sets, "node"), similarity))
+    links = C.written(links, "links")
     for side in ("a", "b"):  # links between texts become links between components
         links = links.join(known.select(F.col("node").alias(side), F.col("component").alias(f"{side}_")), side)
     groups = components(links.select(F.col("a_").alias("a"), F.col("b_").alias("b"))).select(F.col("node").alias("component"), F.col("component").alias("whole"))

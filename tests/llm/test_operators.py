@@ -173,25 +173,26 @@ def alike(a, b, similarity=0.8):
     return len(a & b) >= similarity * len(a | b) - 1e-9
 
 
-def links_by_families(spark, rows, component, side_members):
-    """Links, and rows of the cells, of texts whose known components are given."""
+def links_by_families(spark, rows, component, side_members, each, most):
+    """Links, pairs and rows of the cells, of texts whose known components are given."""
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     prints = C.written(simhash.word_prints(docs, 5, "doc_id", "text"), "prints")
     counts = families.summed(prints.where("segment is not null").select("segment", "counts"))
     known = spark.createDataFrame([(i, component[i]) for i, _ in rows], "node long, component long")
     firsts = families.necessary(docs, 5, 0.8, counts).where("n > 0").withColumnRenamed("doc_id", "node").join(known, "node")
-    members = families.families(C.written(firsts.select("node", "component", "n", "tokens"), "firsts"))
+    pairs, members = families.candidates(C.written(firsts.select("node", "component", "n", "tokens"), "firsts"), 0.8, each, most)
+    links = simhash.similar_links(docs, C.written(pairs, "pairs"), 5, 0.8, "doc_id", "text")
     cells = C.written(families.cells(members, side_members), "cells")
     sets = simhash.shingle_sets(docs, members, 5, "doc_id", "text")
-    return {(r.a, r.b) for r in families.verified(cells.join(sets, "node"), 0.8).collect()}, cells.count()
+    return {(r.a, r.b) for r in families.verified(cells.join(sets, "node"), 0.8).unionByName(links).collect()}, pairs.count(), cells.count()
 
 
-@pytest.mark.parametrize("side_members", [3, 20, 1000])
-def test_families_span_all_similar_pairs(spark, side_members):
+@pytest.mark.parametrize(("side_members", "each", "most"), [(1000, 8, 5_000), (3, 0, 5_000), (20, 1, 5_000), (1000, 8, 3), (3, 0, 3)])
+def test_families_span_all_similar_pairs(spark, side_members, each, most):
     rows = edited_copies(3)
     sets = sets_of(rows)
     component = {i: i // 100 * 100 if i % 100 in (0, 1, 4) and i > 400 else i for i, _ in rows}
-    got, _ = links_by_families(spark, rows, component, side_members)
+    got, *_ = links_by_families(spark, rows, component, side_members, each, most)
     assert all(alike(sets[a], sets[b]) for a, b in got)
 
     def closed(links):
@@ -208,7 +209,7 @@ def test_families_span_all_similar_pairs(spark, side_members):
 def test_a_family_just_below_the_threshold_has_rows_in_proportion(spark):
     rng = random.Random(9)
     base, made = [f"b{k}" for k in range(200)], []
-    for n in (200, 400):
+    for n in (400, 800):
         rows = []
         for i in range(n):  # any two of them have a similarity of about 0.73
             own = list(base)
@@ -217,13 +218,13 @@ def test_a_family_just_below_the_threshold_has_rows_in_proportion(spark):
             rows.append((i, " ".join(own)))
         sets = sets_of(rows)
         want = [(i, j) for i in sets for j in sets if j < i and alike(sets[i], sets[j])]
-        got, cells = links_by_families(spark, rows, {i: i for i in range(n)}, 1000)
-        assert len(got) < n and set(got) <= set(want) and len({i for p in want for i in p}) == len({i for p in got for i in p})
+        got, pairs, cells = links_by_families(spark, rows, {i: i for i in range(n)}, 1000, 2, 5_000)
+        assert set(got) <= set(want) and len({i for p in want for i in p}) == len({i for p in got for i in p})
         docs = spark.createDataFrame(rows, "doc_id long, text string")
         prints = C.written(simhash.word_prints(docs, 5, "doc_id", "text").where("segment is null"), "prints")
         proposed = simhash.similar_candidates(prints.selectExpr("doc_id as node", "fp"), 14, 0.9).count()
-        made.append((cells, proposed))
-    assert made[0][0] == 200 and made[1][0] == 400 and made[1][1] <= 2.5 * made[0][1]
+        made.append((pairs, cells, proposed))
+    assert all(many <= 2.5 * max(few, 400) for few, many in zip(*made, strict=True)), made
 
 
 def test_cells_compare_a_large_component_with_others_only(spark):
