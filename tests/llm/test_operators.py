@@ -462,6 +462,86 @@ def test_attributes_are_whole_names_and_values(markup):
     assert [t for t in lines if t != "Icon"] == ["One", "Two", "Three"]
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<body class='has-sidebar'><article>{}</article>",
+        "<body class=sidebar><main id=comments><article class='post no-comments'>{}</article></main>",
+        "<article><section id='related-work'>{}</section></article>",
+        "<article><div id='side-effects' class='adventure shareholder'>{}</div></article>",
+        "<article>{}<fieldset></fieldset><article class='comment'><p>me too</p></article></article>",
+        "<article>{}<div class='social-share-buttons'>Tell all</div><div id=adBox>Buy</div><p class=cookie_notice>Cookies</p></article>",
+        "<article title='" + "x" * 20_000 + "'>{}</article>",
+        "<article>{}</article><p title=\"" + "<a " * 9_000,
+        "<svg><title>no</title></svg><article>{}</article><!-- <p>no",
+    ],
+)
+def test_article_text_stays(page):
+    assert html.extract(page.format("<h1>A</h1><p>One <math><mi>x</mi></math><p>Two"), set()) == "A\nOne x\nTwo"
+
+
+def test_fieldset_and_stray_signs_are_text():
+    assert html.extract("<article><fieldset><legend>L</legend><p>1 < 2 <3 & a<b</p></fieldset></article>", set()) == "L\n1 < 2 <3 & a<b"
+    assert html.extract("<article>x < y <" + "<" * 5, set()).startswith("x < y <")
+
+
+@pytest.mark.parametrize("part", ["<div><p>x ", "<b>x ", "<", "<p title='", "<li>x", "</i><b>", "<a \"<a\" ", "<!", "<table><td>x"])
+def test_parsing_takes_time_in_proportion(part):
+    import time
+
+    began = time.time()
+    html.blocks(part * (400_000 // len(part)))
+    assert time.time() - began < 20
+
+
+def test_the_tree_decides_without_roles(spark):
+    # small hosts; boxes that return inside the article; a host of copies; nested and plain markup
+    shell = "<div class=a1><p>Same line</p></div>{}<div class=z9><p>Same end</p></div>"
+    inner = "<article><h1>Title {0}</h1><p>Story {0}</p><div class=q7>Always this</div><p>Said by all</p></article>"
+    rows = [(k, "http://three.example/x", shell.format(f"<div class=y><p>Text {k}</p></div>")) for k in range(3)]
+    rows += [(10 + k, "http://inside.example/x", inner.format(k)) for k in range(5)]
+    rows += [(20 + k, "http://copies.example/x", shell.format("<div class=y><p>One text</p></div>")) for k in range(4)]
+    got = {r.page_id: r.text for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k in range(3):
+        assert got[k] == f"Text {k}"
+    for k in range(5):
+        assert got[10 + k] == f"Title {k}\nStory {k}\nSaid by all"
+    for k in range(4):
+        assert got[20 + k] == "Same line\nOne text\nSame end"
+
+
+def test_importance_equals_brute_force(spark):
+    rng = random.Random(4)
+    pages = ["<body>" + "".join(f"<div class=c{k}><p>{rng.choice('abcd') if k % 2 else n}</p></div>" for k in range(rng.randrange(1, 6))) + "</body>" for n in range(12)]
+    got = {r.node: r for r in html.style_tree(spark.createDataFrame([("h", p) for p in pages], "host string, html string")).collect()}
+    texts, layouts, on = collections.defaultdict(collections.Counter), collections.defaultdict(collections.Counter), collections.Counter()
+    for page in pages:
+        under, seen = collections.defaultdict(set), set()
+        for b in html.blocks(page):
+            path, e = [], b.element
+            while e.parent is not None:
+                path, e = [e.key, *path], e.parent
+            for k, node in enumerate(path):
+                under[node] |= {path[k + 1]} if k + 1 < len(path) else set()
+                seen.add((node, path[-1], b.text))
+        for node, _, text in seen:
+            pass
+        for node, leaf, text in seen:
+            texts[node][leaf, text] += 1
+        for node, children in under.items():
+            layouts[node][frozenset(children)] += 1
+            on[node] += 1
+    for node, m in on.items():
+        if m == 1:
+            want = 1.0
+        else:
+            entropy = -sum(n / m * np.log(n / m) for n in layouts[node].values()) / np.log(m)
+            mean = sum(n * np.log(n) for n in texts[node].values()) / sum(texts[node].values()) / np.log(m)
+            w = 0.9 ** len(layouts[node])
+            want = (1 - w) * entropy + w * (1 - min(1, mean))
+        assert got[node].pages == m and abs(got[node].importance - want) < 1e-9
+
+
 @pytest.mark.parametrize("name", ["hidden", "HIDDEN=''", 'aria-hidden="true"', "role = 'navigation'", "class=menu", 'title="x"class="x sidebar"', "id=comments data-x"])
 def test_attributes_that_rule_out(name):
     assert html.extract(f"<body><div {name}><p>One</p></div><p>Two<svg><text>none</text></svg></p></body>", set()) == "Two"
