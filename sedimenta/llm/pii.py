@@ -17,6 +17,8 @@ an empty table gives no rows. Texts are read whole.
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import random
 import re
 from collections.abc import Iterator
@@ -31,9 +33,15 @@ from . import _common as C
 
 KINDS = ("email", "ip", "card", "phone")
 MOST = 5
+#: Characters of the longest candidate; longer addresses are left to the base patterns.
+LONGEST = 320
 # The base patterns.
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+# The same without a second look at any character: a match cannot start within a run of digits, nor a domain hold an @.
+LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+IP_RUN = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 MARK = re.compile(r"[0-9@]")
@@ -52,16 +60,18 @@ def digits_of(s: str) -> str:
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """Spans of the base patterns by kind, then start."""
     out = []
-    at = text.find("@")
-    while at >= 0:  # a match has no white space, so the word around an @ holds it
-        a, b = at, at
-        while a and not text[a - 1].isspace():
+    at, upto = text.find("@"), 0
+    while at >= 0:
+        a = at
+        while a > upto and text[a - 1] in LOCAL:
             a -= 1
-        while b < len(text) and not text[b].isspace():
-            b += 1
-        out += [("email", a + m.start(), a + m.end()) for m in EMAIL.finditer(text[a:b])]
-        at = text.find("@", b)
-    out += [("ip", *m.span()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+        if a < at and (m := DOMAIN.match(text, at + 1)):
+            out.append(("email", a, m.end()))
+            upto = m.end()
+        else:
+            upto = at + 1  # no address reaches over an @
+        at = text.find("@", at + 1)
+    out += [("ip", *m.span()) for m in IP_RUN.finditer(text) if all(len(p := part.lstrip("0")) <= 3 and int(p or 0) <= 255 for part in m[0].split("."))]
     out += [("card", *m.span()) for m in CARD.finditer(text) if m.end() - m.start() >= 13 and 13 <= len(d := digits_of(m[0])) <= 19 and luhn(d)]
     if "+" in text:
         out += [("phone", *m.span()) for m in PHONE.finditer(text) if 9 <= len(digits_of(m[0])) <= 15]
@@ -92,7 +102,12 @@ def trimmed(text: str, a: int, b: int) -> tuple[int, int]:
     """A segment without the punctuation around it."""
     while a < b and text[a] in OPEN:
         a += 1
-    while b > a and text[b - 1] in CLOSE and not (text[b - 1] == ")" and "(" in text[a:b] and text[a:b].count("(") > text[a : b - 1].count(")")):
+    opened, closed = text.count("(", a, b), text.count(")", a, b)
+    while b > a and text[b - 1] in CLOSE:
+        if text[b - 1] == ")":
+            if opened >= closed:  # it ends a pair
+                break
+            closed -= 1
         b -= 1
     return a, b
 
@@ -143,15 +158,24 @@ def span_features(text: str, a: int, b: int, tokens: int) -> list[float]:
     ]
 
 
-def lattice(text: str, run: list[tuple[int, int]]) -> list[tuple[int, int, int, int, list[float]]]:
-    """Candidate segments of a run: first token, token after the last, start, end, features."""
-    out = []
+def lattice(text: str, run: list[tuple[int, int]]) -> Iterator[tuple[int, int, int, int, list[float]]]:
+    """Candidate segments of a run: first token, token after the last, start, end, features. None is longer than ``LONGEST``."""
     for i in range(len(run)):
         for j in range(i + 1, min(len(run), i + MOST) + 1):
+            if run[j - 1][1] - run[i][0] > 2 * LONGEST:
+                break
             a, b = trimmed(text, run[i][0], run[j - 1][1])
-            if b - a >= 6:
-                out.append((i, j, a, b, span_features(text, a, b, j - i)))
-    return out
+            if 6 <= b - a <= LONGEST:
+                yield i, j, a, b, span_features(text, a, b, j - i)
+
+
+def scored(text: str, run: list[tuple[int, int]], w: np.ndarray) -> tuple[list[tuple[int, int, int, int]], np.ndarray]:
+    """Candidate segments without their features, and the scores of each; features are kept for a block at a time."""
+    segments, scores, rows = [], [np.empty((0, w.shape[1]))], lattice(text, run)
+    while block := list(itertools.islice(rows, 2_000)):
+        segments += [s[:4] for s in block]
+        scores.append(np.array([s[4] for s in block], float) @ w)
+    return segments, np.concatenate(scores)
 
 
 def best_path(n: int, segments: list, scores: np.ndarray) -> list[tuple[int, int]]:
@@ -252,7 +276,7 @@ def weights(sentences: int = 1500, epochs: int = 6) -> np.ndarray:
         text, spans = sentence(rng)
         true = {(a, b): KINDS.index(k) for k, a, b in spans}
         for run in runs(text):
-            if segments := lattice(text, run):
+            if segments := list(lattice(text, run)):
                 gold = np.zeros((len(segments), len(KINDS)))
                 for k, s in enumerate(segments):
                     if (kind := true.get((s[2], s[3]))) is not None:
@@ -271,13 +295,22 @@ def weights(sentences: int = 1500, epochs: int = 6) -> np.ndarray:
 
 def added_spans(text: str, base: list[tuple[str, int, int]], w: np.ndarray) -> list[tuple[str, int, int]]:
     """What the field finds apart from the base spans."""
-    out = []
+    out, taken = [], []
+    for _, a, b in sorted(base, key=lambda s: s[1]):  # stretches that base spans cover
+        if taken and a < taken[-1][1]:
+            taken[-1] = (taken[-1][0], max(b, taken[-1][1]))
+        else:
+            taken.append((a, b))
+    ends = [(b,) for _, b in taken]
     for run in runs(text):
-        if (segments := lattice(text, run)) and run[-1][1] - run[0][0] >= 6:
-            for k, kind in best_path(len(run), segments, np.array([s[4] for s in segments], float) @ w):
-                a, b = segments[k][2:4]
-                if all(b <= x or y <= a for _, x, y in base):
-                    out.append((KINDS[kind], a, b))
+        if run[-1][1] - run[0][0] < 6:
+            continue
+        segments, scores = scored(text, run, w)
+        for k, kind in best_path(len(run), segments, scores) if segments else ():
+            a, b = segments[k][2:4]
+            at = bisect.bisect_left(ends, (a + 1,))  # the first taken stretch that ends after a
+            if at == len(ends) or taken[at][0] >= b:
+                out.append((KINDS[kind], a, b))
     return out
 
 

@@ -409,6 +409,8 @@ def test_scores_of_awkward_rows(spark, odd):
     rows = langid.predict(odd, names, m).collect()
     assert len(rows) == odd.count() and {r.lang_pred for r in rows} == {"text", "und"}
     assert {r.lang_pred for r in langid.predict(odd, [], None).collect()} == {"und"}
+    signs = spark.createDataFrame([(1, "½ ² Ⅷ ① 12 _"), (2, "½ a"), (3, "漢")], "doc_id long, text string")
+    assert [r.lang_pred for r in langid.predict(signs, names, m).orderBy("doc_id").collect()] == ["und", "text", "text"]
 
 
 def test_main_text(spark):
@@ -563,6 +565,37 @@ def test_personal_data(spark):
     assert right / found > 0.95 and right / true > 0.95
 
 
+def brute_spans(text):
+    out = [("email", *m.span()) for m in pii.EMAIL.finditer(text)]
+    out += [("ip", *m.span()) for m in pii.IP.finditer(text) if all(int(p) <= 255 for p in m[0].split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        d = [int(c) for c in m[0] if c.isdigit()][::-1]
+        if 13 <= len(d) <= 19 and sum(d[::2] + [x // 5 + 2 * x % 10 for x in d[1::2]]) % 10 == 0:
+            out.append(("card", *m.span()))
+    return out + [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 9 <= sum(c.isdigit() for c in m[0]) <= 15]
+
+
+@pytest.mark.parametrize("letters", ["a1.@-", "12.0", "0123456789 -", "+1 ().-2@a", "ab@.cé_\n%"])
+def test_base_spans_are_those_of_the_plain_patterns(letters):
+    rng = random.Random(letters)
+    for _ in range(1500):
+        text = "".join(rng.choice(letters) for _ in range(rng.randrange(60)))
+        assert pii.base_spans(text) == brute_spans(text), text
+
+
+@pytest.mark.parametrize("part", ["7", "a", "a@", "1.2.", "12 ", "+1", "a1)", "(1", "1.2.3.4 ", "a@b.c ", "0.0", "@1"])
+def test_personal_data_takes_time_in_proportion(part):
+    import time
+
+    w, began = pii.weights(), time.time()
+    pii.find(part * (500_000 // len(part)), w)
+    assert time.time() - began < 60
+
+
+def test_addresses_with_many_zeros():
+    assert pii.base_spans("0" * 6000 + "1.2.3.4 " + "1" * 6000 + ".2.3.4")[0] == ("ip", 0, 6007)
+
+
 def test_best_path_is_the_best(spark):
     rng = np.random.default_rng(1)
     for _ in range(30):
