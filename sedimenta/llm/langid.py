@@ -24,10 +24,15 @@ from pyspark.sql import functions as F
 from . import _common as C
 
 DIM = 1 << 13
-LETTER = re.compile(r"[^\W\d_]")
+WORDLIKE = re.compile(r"[^\W\d_]")
 OUT = "doc_id long, lang_pred string, score double, ambiguous boolean, margin double"
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character is a letter (Unicode categories L*); signs such as numerals and superscripts are none."""
+    return any(c.isalpha() for c in map(re.Match.group, WORDLIKE.finditer(text)))
+
+
 def ngram_rows(texts: list[str]) -> np.ndarray:
     """Unit rows of square-rooted counts of hashed bigrams and trigrams, lower case."""
     units = [np.frombuffer(f" {t.lower()} ".encode("utf-32-le", "surrogatepass"), "<u4") for t in texts]
@@ -91,14 +96,15 @@ def decode(model: dict, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return loss.argmin(1), two[:, 0], two[:, 0] - (two[:, 1] if p.shape[1] > 1 else 0)
 
 
-def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, usable, per_lang: int = 1200) -> tuple[list[str], dict | None]:
-    """Fit on about ``per_lang`` texts of each language (a documented bound), chosen by a hash of the id."""
+def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, usable, per_lang: int = 1200, most: int = 10_000) -> tuple[list[str], dict | None]:
+    """Fit on about ``per_lang`` texts of each language and ``most`` of all (documented bounds), chosen by a hash of the id."""
     known = docs.where(F.col(lang_col).isNotNull() & usable).select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     known = known.where(F.col("text").isNotNull())
     counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(counts)
     if not langs:
         return [], None
+    per_lang = min(per_lang, most / len(langs))
     share = F.create_map(*[F.lit(v) for k in langs for v in (k, min(1.0, per_lang / counts[k]))])
     unit = F.pmod(F.xxhash64(F.lit(17), F.col("doc_id")), F.lit(1 << 30)) / F.lit(1 << 30)
 
@@ -123,7 +129,7 @@ def predict(docs: DataFrame, langs: list[str], model: dict | None, id_col: str =
         names, m = sent.value
         for slab in C.slabs(batches, rows=128):
             ids, texts = slab.column(0), slab.column(1).to_pylist()
-            has = np.array([bool(m) and LETTER.search(t) is not None for t in texts])
+            has = np.array([bool(m) and has_letter(t) for t in texts])
             best, score, lead = decode(m, ngram_rows(texts)) if m else (np.zeros(len(texts), int),) * 3
             yield pa.RecordBatch.from_arrays(
                 [
