@@ -102,8 +102,12 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
     return bins, offsets
 
 
-def packed(pieces: DataFrame, capacity: int = 1024, group_rows: int = 16_000) -> DataFrame:
-    """Add ``sequence_id`` and ``offset`` to pieces (columns of ``PIECES``)."""
+def packed(pieces: DataFrame, capacity: int = 1024, group_rows: int = 100_000) -> DataFrame:
+    """Add ``sequence_id`` and ``offset`` to pieces (columns of ``PIECES``, a written table).
+
+    Pieces are packed in groups of about ``group_rows``, as few as that allows, each in
+    descending order and in a random one; the better counts.
+    """
     total = pieces.count()
     groups = max(1, -(-total // group_rows))
 
@@ -121,7 +125,9 @@ def packed(pieces: DataFrame, capacity: int = 1024, group_rows: int = 16_000) ->
         out["offset"] = offsets
         return out
 
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(groups)).cast("int"))
+    # the place of the row in the written pieces parts repeated rows of one id
+    salt = F.pmod(F.xxhash64("doc_id", "piece", "start", F.monotonically_increasing_id()), F.lit(groups)).cast("int")
+    salted = pieces.withColumn("salt", salt).repartitionByRange(groups, "salt")  # a group to a task; by hash some tasks would get several
     return salted.groupBy("salt").applyInPandas(run, PIECES + ", sequence_id long, offset long")
 
 

@@ -367,8 +367,11 @@ def test_groups_are_split_at_their_bound_only(spark):
     rng = random.Random(5)
     rows = [(k, 0, 0, rng.randrange(1, 1025), k) for k in range(9_000)]
     got = packing.packed(spark.createDataFrame(rows, packing.PIECES)).collect()
+    assert len({r.sequence_id for r in got}) <= 1.005 * sum(r[3] for r in rows) / 1024
     assert len(got) == 9_000 and {r.sequence_id >> 32 for r in got} == {0}
     assert len({r.sequence_id >> 32 for r in packing.packed(spark.createDataFrame(rows, packing.PIECES), group_rows=3_000).collect()}) == 3
+    same = spark.createDataFrame([(1, 0, 0, 700, 5)] * 900, packing.PIECES)
+    assert min(n for _, n in packing.packed(same, group_rows=300).selectExpr("sequence_id >> 32 as g").groupBy("g").count().collect()) > 200
 
 
 def test_sum_of_squares_places_where_the_sum_is_least():
