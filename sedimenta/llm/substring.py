@@ -8,6 +8,9 @@ document has too are hits extended to exact repeats of W words: the windows
 there are grouped by their content and all but those of the smallest id go.
 Overlapping windows that go make up the maximal repeats.
 
+Anchors meet the windows by a Bloom filter of bounded size. What it lets through in
+vain is found unique when windows are grouped, so results don't depend on its size.
+
 What is shuffled is packed: per task and range of hashes one sorted, gap-coded
 list, with one entry for each distinct window of the task. A passage that a third
 of all documents share therefore sends one entry a task, not one a document.
@@ -36,8 +39,11 @@ from ._common import squeeze, unsqueeze
 
 #: Stands for a null id within the operator.
 NO_ID = np.iinfo(np.int64).max
-#: Anchors are broadcast up to this many (8 bytes each); beyond, all windows are grouped.
-ANCHORS = 2_000_000
+#: Bits (a power of 2) of the filter by which windows look up anchors: 16 MB at most. More anchors than it has room
+#: for let windows through that are grouped in vain, and change no result.
+FILTER_BITS = 27
+#: Bytes of input for each range of hashes; a task holds one range at a time.
+RANGE_BYTES = 32 << 20
 #: Words of a task's group of documents that are worked on together.
 GROUP_WORDS = 1_500_000
 PROBE_BITS = 44
@@ -126,7 +132,7 @@ def shared_anchors(docs: DataFrame, window: int, buckets: int) -> DataFrame:
     return docs.mapInArrow(probe, "bucket int, n int, hash binary, flags binary").groupBy("bucket").applyInPandas(meet, "anchor long")
 
 
-def repeated_starts(docs: DataFrame, window: int, buckets: int, anchors: np.ndarray | None) -> DataFrame:
+def repeated_starts(docs: DataFrame, window: int, buckets: int, anchors: C.Bloom) -> DataFrame:
     """For each document the starts of its windows that a document of smaller id has, in parts."""
     sent = docs.sparkSession.sparkContext.broadcast(anchors)
 
@@ -136,14 +142,11 @@ def repeated_starts(docs: DataFrame, window: int, buckets: int, anchors: np.ndar
         kinds = (pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 6)
         for g in grouped(batches, window):
             hashes, inside = g.windows(window)
-            if known is not None:
-                probes, whole = g.windows(block)
-                probes = probes >> np.uint64(64 - PROBE_BITS)
-                place = np.minimum(np.searchsorted(known, probes), max(0, len(known) - 1))
-                hit = whole & (known[place] == probes) if len(known) else np.zeros(len(probes), bool)
-                upto = np.concatenate([[0], np.cumsum(hit)])
-                n = np.arange(len(hashes))  # an anchor starts within the window's first window - block + 1 words
-                inside = inside & (upto[n + window - block + 1] > upto[n])
+            probes, whole = g.windows(block)
+            hit = whole & known.may_have((probes >> np.uint64(64 - PROBE_BITS)).astype(np.int64))
+            upto = np.concatenate([[0], np.cumsum(hit)])
+            n = np.arange(len(hashes))  # an anchor starts within the window's first window - block + 1 words
+            inside = inside & (upto[n + window - block + 1] > upto[n])
             at = np.flatnonzero(inside)
             if not len(at):
                 continue
@@ -223,11 +226,10 @@ def kept_words(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_c
     """doc_id, n_words, n_removed, kept (the words left, one space between) for every row."""
     spark = docs.sparkSession
     docs = C.id_text(docs, id_col, text_col)
-    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())  # as planned from the files; nothing is run
+    buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), min(-(-size // RANGE_BYTES), 1_000_000))
     found = C.written(shared_anchors(docs, window, buckets), "anchors")
-    few = found.count() <= ANCHORS
-    anchors = np.unique(np.array([r[0] for r in found.collect()], np.int64).view(np.uint64)) if few else None
-    gone = repeated_starts(docs, window, buckets, anchors).groupBy("id", "mark").agg(F.collect_list(F.struct("n", "starts")).alias("gone"))
+    gone = repeated_starts(docs, window, buckets, C.Bloom.of(found, "anchor", FILTER_BITS)).groupBy("id", "mark").agg(F.collect_list(F.struct("n", "starts")).alias("gone"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for slab in C.slabs(batches):
