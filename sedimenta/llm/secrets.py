@@ -1,9 +1,13 @@
 """Secret scans with an incremental ledger of blobs, in DataFrame operations only.
 
-Every text is content-addressed by its SHA-256. The ledger holds the pairs of
-blob and rule version that have been scanned; a scan reads each distinct blob
-once, and of it only what the rules not yet applied to it need. Findings are kept
-by blob and joined back to every path (document) that has the blob.
+Every text is content-addressed by its SHA-256. A store keeps a ledger of the pairs of
+blob and rule version that have been scanned, and the findings, by blob and rule version.
+A scan reads each distinct blob once, only blobs that lack a rule version, and of these
+applies only the rule versions they lack; the findings are kept and joined back to every
+path (document) that has the blob. Versions of a rule stay side by side in the store.
+
+Findings are written before the ledger's rows, and count only once these are there, so
+a run that breaks off between the two leaves nothing to repair.
 
 Offsets come from the matches and the pieces of text between them, in order;
 they count code points, and ends are exclusive.
@@ -15,6 +19,7 @@ equal rows; an empty table gives no rows. Texts are scanned whole.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -54,7 +59,7 @@ MORE = (
     Rule("pem", 1, r"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----", 0, 27, "-----BEGIN "),
 )
 RULES = (*BASE, *MORE)
-FINDING = "struct<kind:string,nth:int,gap:int,size:int,ok:boolean>"
+FINDING = "struct<rule:string,kind:string,nth:int,gap:int,size:int,ok:boolean>"
 
 
 def matches(rule: Rule, text: Column, unseen: Column) -> Column:
@@ -63,40 +68,66 @@ def matches(rule: Rule, text: Column, unseen: Column) -> Column:
     judged = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else found
     rows = F.transform(
         F.arrays_zip(found.alias("m"), F.slice(between, F.lit(1), F.size(found)).alias("g"), judged.alias("j")),
-        lambda x, i: F.struct(F.lit(rule.kind).alias("kind"), i.alias("nth"), F.char_length(x["g"]).alias("gap"), F.char_length(x["m"]).alias("size"), (F.char_length(x["j"]) >= rule.least).alias("ok")),
+        lambda x, i: F.struct(F.lit(rule.key).alias("rule"), F.lit(rule.kind).alias("kind"), i.alias("nth"), F.char_length(x["g"]).alias("gap"), F.char_length(x["m"]).alias("size"), (F.char_length(x["j"]) >= rule.least).alias("ok")),
     )
     there = text.rlike(rule.pattern) if rule.hint is None else text.contains(rule.hint) & text.rlike(rule.pattern)
     return F.when(unseen & there, rows).otherwise(F.array().cast(f"array<{FINDING}>"))
 
 
 def scan(paths: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: DataFrame | None = None) -> DataFrame:
-    """Findings (blob, kind, start, end) of blobs (columns blob, text) by rules that the ledger (blob, rule) lacks."""
+    """Findings (blob, rule, kind, start, end) of blobs (columns blob, text) by rules that the ledger (blob, rules) lacks."""
     blobs = paths.groupBy("blob").agg(F.first("text").alias("text"))
     seen = F.array().cast("array<string>")
     if ledger is not None:
-        known = ledger.where(F.col("rule").isin([r.key for r in rules])).groupBy("blob").agg(F.collect_set("rule").alias("seen"))
+        keys = F.array(*[F.lit(r.key) for r in rules])
+        known = ledger.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list(F.array_intersect("rules", keys)))).alias("seen"))
         blobs = blobs.join(known, "blob", "left").where(F.coalesce(F.size("seen"), F.lit(0)) < len(rules))
         seen = F.coalesce(F.col("seen"), seen)
     found = F.concat(*[matches(r, F.col("text"), ~F.array_contains(seen, r.key)) for r in rules])
     rows = blobs.select("blob", F.explode(found).alias("x")).select("blob", "x.*")
-    upto = Window.partitionBy("blob", "kind").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
+    upto = Window.partitionBy("blob", "rule").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("end", F.sum(F.col("gap") + F.col("size")).over(upto)).where("ok")
-    return rows.select("blob", "kind", (F.col("end") - F.col("size")).alias("start"), "end")
+    return rows.select("blob", "rule", "kind", (F.col("end") - F.col("size")).alias("start"), "end")
 
 
-def addressed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    return C.id_text(docs, id_col, text_col).withColumn("blob", F.sha2("text", 256))
+class Store:
+    """A ledger and findings in a folder; every run adds a part to both."""
+
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        self.spark, self.folder = spark, folder
 
+    def table(self, name: str, schema: str) -> DataFrame | None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
+            return None
+        return self.spark.read.schema(schema).parquet(f"{self.folder}/{name}")
 
-def ledger_after(paths: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: DataFrame | None = None) -> DataFrame:
-    """The pairs (blob, rule) scanned once ``scan`` is through."""
-    new = paths.select("blob").distinct().select("blob", F.explode(F.array(*[F.lit(r.key) for r in rules])).alias("rule"))
-    return new if ledger is None else new.unionByName(ledger.select("blob", "rule")).distinct()
+    def ledger(self) -> DataFrame | None:
+        """(blob, rules, run), one row for each blob and run that scanned it."""
+        return self.table("ledger", "blob string, rules array<string>, run string")
 
+    def findings(self, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+        """(blob, rule, kind, start, end) of the rules, from runs that the ledger knows."""
+        found, ledger = self.table("findings", "blob string, rule string, kind string, start long, end long, run string"), self.ledger()
+        if found is None or ledger is None:
+            return self.spark.createDataFrame([], "blob string, rule string, kind string, start long, end long")
+        runs = ledger.select("run").distinct()  # a row for each run
+        return found.where(F.col("rule").isin([r.key for r in rules])).join(F.broadcast(runs), "run", "left_semi").drop("run")
 
-def by_path(paths: DataFrame, findings: DataFrame) -> DataFrame:
-    """Findings of every path; one without any has one row with null kind, start and end."""
-    return paths.drop("text").join(findings, "blob", "left")
+    def extend(self, paths: DataFrame, rules: tuple[Rule, ...] = RULES) -> None:
+        """Scan what the ledger lacks of the paths (columns blob, text), and keep it."""
+        run, ledger, keys = uuid.uuid4().hex, self.ledger(), F.array(*[F.lit(r.key) for r in rules])
+        scan(paths, rules, ledger).withColumn("run", F.lit(run)).write.mode("append").parquet(f"{self.folder}/findings")
+        new = paths.select("blob").distinct().withColumn("rules", keys)
+        if ledger is not None:
+            known = ledger.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("rules"))).alias("seen"))
+            lacks = F.array_except("rules", F.coalesce("seen", F.array().cast("array<string>")))
+            new = new.join(known, "blob", "left").select("blob", lacks.alias("rules")).where(F.size("rules") > 0)
+        new.withColumn("run", F.lit(run)).write.mode("append").parquet(f"{self.folder}/ledger")
+
+
+def addressed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    return C.id_text(docs, id_col, text_col).withColumn("blob", F.sha2("text", 256))
 
 
 def joined(spans: Column) -> Column:
@@ -104,18 +135,20 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def digests(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, counts, base_sha256 and spans for every row."""
+def digests(docs: DataFrame, rules: tuple[Rule, ...] = RULES, store: Store | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, counts, base_sha256 and spans for every row, from the store once it knows all texts; by default a new one."""
     paths = addressed(docs, id_col, text_col)
+    store = store or Store(docs.sparkSession, f"{C.shared_dir(docs.sparkSession)}/secrets-{uuid.uuid4().hex}")
+    store.extend(paths, rules)
     order = F.array_position(F.array(*[F.lit(r.kind) for r in rules]), F.col("kind"))
     one = F.struct("start", order.alias("rank"), "end", "kind")
     base = [r.kind for r in rules if r.base]
-    summary = scan(paths, rules).groupBy("blob").agg(
+    summary = store.findings(rules).groupBy("blob").agg(
         *[F.count(F.when(F.col("kind") == k, 1)).alias(f"n_{k}") for k in base],
         joined(F.collect_list(F.when(F.col("kind").isin(base), one))).alias("base"),
         joined(F.collect_list(one)).alias("spans"),
     )
-    rows = paths.select("doc_id", "blob").join(C.written(summary, "findings"), "blob", "left")
+    rows = paths.select("doc_id", "blob").join(summary, "blob", "left")
     return rows.select(
         "doc_id",
         *[F.coalesce(f"n_{k}", F.lit(0)).cast("long").alias(f"n_{k}") for k in base],
