@@ -22,21 +22,37 @@ from pyspark.sql import functions as F
 
 from . import _common as C
 
-SAMPLES = 32
+#: Samples of a fingerprint, computed in blocks of ``BLOCK`` (wider aggregates are not compiled).
+SAMPLES, BLOCK = 64, 32
 SPACE = r"[\x20\x09-\x0D]+"
 
 
-def terms(text: Column) -> Column:
-    """Array of (term, n): hashes of the distinct words and how often each occurs."""
-    hashed = F.transform(F.array_remove(F.split(text, SPACE, -1), ""), lambda w: F.xxhash64(w))
-    return F.sort_array(hashed)
+def terms(text: Column, version: int) -> Column:
+    """Hashes of the words; their last bit says of which version of the text they are."""
+    mark = (lambda h: h.bitwiseOR(F.lit(1))) if version else (lambda h: h.bitwiseAND(F.lit(~1)))
+    return F.transform(F.array_remove(F.split(text, SPACE, -1), ""), lambda w: mark(F.xxhash64(w)))
 
 
 def runs(ordered: Column) -> Column:
-    """Of a sorted array, each distinct value with its number."""
+    """Of a sorted array, each distinct value with the place of its end."""
     ends = F.filter(F.sequence(F.lit(1), F.size(ordered)), lambda i: (i == F.size(ordered)) | (F.get(ordered, i) != F.get(ordered, i - 1)))
     ends = F.when(F.size(ordered) > 0, ends).otherwise(F.array().cast("array<int>"))
-    return F.transform(ends, lambda e, k: F.struct(F.get(ordered, e - 1).alias("term"), e.alias("end"), k.alias("k")))
+    return F.transform(ends, lambda e: F.struct(F.get(ordered, e - 1).alias("term"), e.alias("end")))
+
+
+def weighted(run: Column) -> Column:
+    """Of the runs of both versions' terms, each term with the logarithms of its weights; null where a version lacks it."""
+
+    def one(e: Column, k: Column) -> Column:
+        before, after = F.when(k > 0, F.get(run, k - 1)), F.get(run, k + 1)
+        n = e["end"] - F.coalesce(before["end"], F.lit(0))
+        twin = F.when(after["term"] == e["term"].bitwiseOR(F.lit(1)), after["end"] - e["end"])
+        term = e["term"].bitwiseAND(F.lit(~1))
+        second = e["term"] != term
+        both = F.struct(term.alias("term"), F.when(~second, F.ln(n)).alias("w0"), F.when(second, F.ln(n)).otherwise(F.ln(twin)).alias("w1"))
+        return F.when(~second | before.isNull() | (before["term"] != term), both)
+
+    return F.filter(F.transform(run, one), lambda x: x.isNotNull())
 
 
 def unit(bits: Column, width: int) -> Column:
@@ -101,26 +117,24 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     rows = rows.withColumn("edited", F.when(~F.col("helper"), F.concat(F.substr("text", F.lit(1), n - half), F.substr(F.coalesce("next", F.lit("")), F.lit(1), half))))
-    versions = F.array(F.struct(F.lit(0).alias("version"), F.col("text").alias("body")), F.struct(F.lit(1).alias("version"), F.col("edited").alias("body")))
-    rows = rows.select("part", "rn", "helper", "doc_id", F.explode(versions).alias("v")).where("v.body is not null")
-    rows = rows.select("part", "rn", "helper", "doc_id", "v.version", F.char_length("v.body").alias("n_chars"), F.sha2("v.body", 256).alias("sha"), terms(F.col("v.body")).alias("s"))
-    rows = rows.withColumn("blank", F.size("s") == 0)
-    keys = ["part", "rn", "helper", "doc_id", "version", "n_chars", "sha", "blank"]
-    rows = rows.select(*keys, runs(F.col("s")).alias("x"))
-    counted = F.transform("x", lambda e, k: F.struct(e["term"].alias("term"), F.ln(e["end"] - F.when(k == 0, 0).otherwise(F.get(F.col("x"), k - 1)["end"])).alias("w")))
-    rows = rows.select(*keys, F.explode_outer(counted).alias("e")).select(*keys, F.coalesce("e.term", F.lit(0)).alias("term"), F.coalesce("e.w", F.lit(0.0)).alias("w"))
-    mins = [f"m{k}" for k in range(SAMPLES)]
-    rows = rows.groupBy(*keys).agg(*[F.min(candidate(F.col("term"), F.col("w"), k)).alias(m) for k, m in enumerate(mins)])
-    rows = rows.select(*keys, F.when(F.col("blank"), "0" * 8 * SAMPLES).otherwise(signature(mins)).alias("fp"))
-    first, second = F.col("version") == 0, F.col("version") == 1
-    rows = rows.groupBy("part", "rn", "helper", "doc_id").agg(
-        F.max(F.when(first, F.col("n_chars"))).cast("long").alias("n_chars"),
-        F.max(F.when(second, F.col("sha"))).alias("edited_sha256"),
-        F.max(F.when(first, F.col("fp"))).alias("fingerprint"),
-        F.max(F.when(second, F.col("fp"))).alias("edited_fingerprint"),
-    )
+    keys = ["part", "rn", "helper", "doc_id", "n_chars", "sha", "blank0", "blank1"]
+    first, second = terms(F.col("text"), 0), F.coalesce(terms(F.col("edited"), 1), F.array().cast("array<bigint>"))
+    rows = rows.select("part", "rn", "helper", "doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("sha"), first.alias("a"), second.alias("b"))
+    rows = rows.withColumns({"blank0": F.size("a") == 0, "blank1": F.size("b") == 0}).select(*keys, F.sort_array(F.concat("a", "b")).alias("s"))
+    rows = rows.select(*keys, runs(F.col("s")).alias("x"))  # a column of its own: lambdas would sort again for each element
+    rows = rows.select(*keys, F.explode_outer(weighted(F.col("x"))).alias("e")).select(*keys, "e.*")
+    # both versions share the hashes and logarithms of a term; each block of samples has its own hash of it
+    blocks = SAMPLES // BLOCK
+    rows = rows.select(*keys, "w0", "w1", "term", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    rows = rows.select(*keys, "w0", "w1", "block", F.xxhash64("term", "block").alias("term"))
+    mins = [[f"m{v}_{k}" for k in range(BLOCK)] for v in (0, 1)]
+    rows = rows.groupBy(*keys, "block").agg(*[F.min(candidate(F.col("term"), F.col(f"w{v}"), k)).alias(m) for v in (0, 1) for k, m in enumerate(mins[v])])
+    zeros = F.lit("0" * 8 * BLOCK)
+    rows = rows.select(*keys, "block", *[F.when(F.col(f"blank{v}"), zeros).otherwise(signature(mins[v])).alias(f"fp{v}") for v in (0, 1)])
+    rows = rows.groupBy(*keys).agg(*[F.max(F.when(F.col("block") == k, F.col(f"fp{v}"))).alias(f"fp{v}_{k}") for v in (0, 1) for k in range(blocks)])
+    rows = rows.select(*keys, *[F.concat(*[F.col(f"fp{v}_{k}") for k in range(blocks)]).alias(name) for v, name in ((0, "fingerprint"), (1, "edited_fingerprint"))])
     rows = rows.withColumn("next_fp", F.lead("fingerprint").over(Window.partitionBy("part").orderBy("rn"))).where(~F.col("helper"))
-    return rows.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_fp")).alias("near_next"))
+    return rows.select("doc_id", "n_chars", F.col("sha").alias("edited_sha256"), "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_fp")).alias("near_next"))
 
 
 def op8_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:

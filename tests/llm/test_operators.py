@@ -352,7 +352,61 @@ def test_sampling_error_of_each_pair(spark):
     for k in range(1, len(texts), 2):
         a, b = collections.Counter(texts[k].split()), collections.Counter(texts[k - 1].split())
         like = sum((a & b).values()) / sum((a | b).values())
-        assert abs(rows[k].near_next - like) <= 4 * (like * (1 - like) / 32) ** 0.5 + 1 / 64
+        assert abs(rows[k].near_next - like) <= 4 * (like * (1 - like) / cws.SAMPLES) ** 0.5 + 1 / 64
+    off = []
+    for k in range(len(texts)):
+        t, after = texts[k], texts[k - 1]
+        edited = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
+        a, b = collections.Counter(t.split()), collections.Counter(edited.split())
+        like = sum((a & b).values()) / sum((a | b).values())
+        off.append(rows[k].near_edited - like)
+        assert abs(off[-1]) <= 4 * (like * (1 - like) / cws.SAMPLES) ** 0.5 + 1 / 64
+    assert np.sqrt(np.mean(np.square(off))) < 0.08
+
+
+def python_signature(text):
+    """The same samples one by one, from the formulas."""
+    import math
+
+    import xxhash
+
+    def long(*values):
+        h = 42
+        for v in values:
+            h = xxhash.xxh64_intdigest(v.to_bytes(*v_size(v), signed=True), h)
+        return h - (1 << 64) if h >> 63 else h
+
+    def v_size(v):
+        return (4, "little") if 0 <= v < 64 else (8, "little")
+
+    unit = lambda bits, width: ((bits & (1 << width) - 1) + 0.5) * 0.5**width
+    out = []
+    words = collections.Counter((xxhash.xxh64_intdigest(w.encode(), 42) >> 1 << 1) for w in text.split())
+    for block in range(cws.SAMPLES // cws.BLOCK):
+        own = {long(w - (1 << 64) if w >> 63 else w, block): n for w, n in words.items()}
+        for k in range(cws.BLOCK):
+            best = None
+            for term, n in own.items():
+                h1 = xxhash.xxh64_intdigest(((term & (1 << 64) - 1) ^ (0x5851F42D4C957F2D * (k + 1)) % (1 << 62)).to_bytes(8, "little"), 42)
+                h2 = xxhash.xxh64_intdigest(h1.to_bytes(8, "little"), 42)
+                r = -math.log(unit(h1, 32) * unit(h1 >> 32, 32))
+                log_c = math.log(-math.log(unit(h2, 22) * unit(h2 >> 22, 21)))
+                beta = unit(h2 >> 43, 21)
+                t = math.floor(math.log(n) / r + beta)
+                rank = int(min(max((log_c - r * (t - beta) - r + 64) * 16777216.0, 0), 2147483647))
+                got = rank, (h1 ^ t << 16) & 0xFFFFFFFF
+                best = got if best is None else min(best, got)
+            out.append(f"{best[1]:08x}" if best else "0" * 8)
+    return "".join(out)
+
+
+def test_signatures_are_those_of_the_formulas(spark):
+    texts = ["one two two three three three four", "x", "", "two two x y " * 40]
+    rows = {r.doc_id: r for r in cws.digests(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        after = texts[i - 1]
+        assert rows[i].fingerprint == python_signature(t)
+        assert rows[i].edited_fingerprint == python_signature(t[: len(t) - len(t) // 2] + after[: len(t) // 2])
 
 
 def test_packing(spark, odd):
