@@ -11,12 +11,15 @@ documents, so more windows mean more passes, not more memory.
 
 Defined results: null and empty texts have no words; an item of fewer words than
 a window is one window, one without words none; equal windows of several items
-count for each; repeated rows get equal rows, and a repeated item id counts once;
+count for each; repeated rows get equal rows, and a repeated item id counts once; words in
+windows of an item without id are hit, but no item is counted for them;
 an empty documents table gives no rows, an empty benchmark no hits.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,7 +43,7 @@ def item_windows(items: DataFrame, size: int, id_col: str, text_col: str) -> Dat
     w = F.col("w")
     starts = F.when(F.size(w) > 0, F.sequence(F.lit(0), F.greatest(F.size(w) - size, F.lit(0))))
     rows = items.select(F.col(id_col).cast("string").alias("item"), words(F.coalesce(F.col(text_col), F.lit(""))).alias("w"))
-    rows = rows.where("item is not null").select("item", "w", F.explode(starts).alias("at"))
+    rows = rows.select("item", "w", F.explode(starts).alias("at"))
     return rows.select("item", F.slice(w, F.col("at") + 1, size).alias("window")).groupBy("window").agg(F.collect_set("item").alias("items"))
 
 
@@ -102,9 +105,10 @@ def digests(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
 
 def clean(docs: DataFrame, items: DataFrame, size: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows without any window of the items, with all their columns."""
-    met = hits(docs, items, size, id_col, text_col).where("hit is not null").select(F.col("doc_id").alias("_hit_id"), F.col("mark").alias("_hit_mark")).distinct()
+    own = uuid.uuid4().hex  # names that no column of the documents has
+    met = hits(docs, items, size, id_col, text_col).where("hit is not null").select(F.col("doc_id").alias(f"id_{own}"), F.col("mark").alias(f"mark_{own}")).distinct()
     mark = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    return docs.join(C.written(met, "hits"), F.col(id_col).eqNullSafe(F.col("_hit_id")) & (mark == F.col("_hit_mark")), "left_anti")
+    return docs.join(C.written(met, "hits"), F.col(id_col).eqNullSafe(F.col(f"id_{own}")) & (mark == F.col(f"mark_{own}")), "left_anti")
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -252,7 +252,7 @@ def brute_decontam(docs, items, size=10):
     for i, t in items:
         w = words(t)
         for k in range(max(1, len(w) - size + 1) if w else 0):
-            windows[tuple(w[k : k + size])].add(str(i))
+            windows[tuple(w[k : k + size])] |= {str(i)} - {"None"}
     out = []
     for i, t in docs:
         w, hit, own = words(t), set(), set()
@@ -269,7 +269,7 @@ def brute_decontam(docs, items, size=10):
 def test_decontamination(spark, odd, most, monkeypatch):
     monkeypatch.setattr(decontam.hits, "__defaults__", (*decontam.hits.__defaults__[:-1], most))
     docs = rows_of(odd)
-    items = [(1, " ".join(docs[6][1].split()[20:45])), (2, "W1"), (3, None), (4, ""), (5, docs[7][1][:60]), (6, "not there at all"), (7, " ".join(docs[6][1].split()[20:45])), (8, "À ab")]
+    items = [(1, " ".join(docs[6][1].split()[20:45])), (2, "W1"), (3, None), (4, ""), (5, docs[7][1][:60]), (6, "not there at all"), (7, " ".join(docs[6][1].split()[20:45])), (8, "À ab"), (None, " ".join(docs[7][1].split()[40:55]))]
     bench = spark.createDataFrame(items, "item_id long, text string")
     assert sorted(map(tuple, decontam.digests(odd, bench).collect()), key=repr) == brute_decontam(docs, items)
     assert not any(r.contaminated for r in decontam.digests(odd, bench.limit(0)).collect())
@@ -702,6 +702,19 @@ def test_pipeline(spark):
         assert stage(spark, docs.limit(0), SF).count() == 0
 
 
+def test_stages_take_clashing_columns_null_ids_and_repeated_rows(spark):
+    import corpus_pipeline as P
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    names = ["_hit_id", "_hit_mark", "fp", "node", "component", "component_id", "content", "token", "tokens", "hit", "mark", "salt", "spans", "score", "a", "b", "family", "cell", "y", "w"]
+    more = docs.limit(5).withColumn("doc_id", F.lit(None).cast("long")).unionByName(docs.limit(3)).unionByName(docs.limit(2).withColumn("text", F.lit(None).cast("string")))
+    odd = C.written(docs.unionByName(more).select("*", *[F.lit("z").alias(n) for n in names]), "odd")
+    for k, (name, stage) in enumerate(P.STAGES):
+        out = stage(spark, odd, SF)
+        assert k == 4 or out.columns == odd.columns, name
+        assert out.count() > 0
+
+
 def test_registered_sql_agrees(spark):
     c = duckdb.connect()
     for t in ("documents", "benchmark"):
