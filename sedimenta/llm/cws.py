@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from . import _common as C
 
 #: Samples of a fingerprint, computed in blocks of ``BLOCK`` (wider aggregates are not compiled).
-SAMPLES, BLOCK = 64, 32
+SAMPLES, BLOCK = 32, 32
 SPACE = r"[\x20\x09-\x0D]+"
 
 
