@@ -166,7 +166,7 @@ def unsqueeze(data: bytes, kind: type, n: int) -> np.ndarray:
 
 
 class Bloom:
-    """A set of longs that may say yes too often: 16 bits for each, at most 2**27 (16 MB) in all; beyond, it only lets more through."""
+    """A set of longs that may say yes too often: 32 bits for each, at most 2**27 (16 MB) in all; beyond, it only lets more through."""
 
     def __init__(self, bits: int, word: np.ndarray, mask: np.ndarray) -> None:
         self.bits, self.words = bits, np.zeros(max(1, (1 << bits) >> 6), np.uint64)
@@ -175,23 +175,35 @@ class Bloom:
     @classmethod
     def of(cls, rows: DataFrame, column: str, most: int = 27) -> Bloom:
         """From a column of a written table; its words reach the driver, at most 2**21 of them."""
-        bits = min(most, max(10, (16 * rows.count()).bit_length()))
+        bits = min(most, max(10, (32 * rows.count()).bit_length()))
 
-        def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def bits_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                at = np.unique(place(batch.column(0).drop_null().to_numpy(), bits))
+                at = np.unique(np.concatenate(list(places(batch.column(0).drop_null().to_numpy(), bits))))
                 mask = np.uint64(1) << (at & np.uint64(63))
                 yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int32)), pa.array(mask.view(np.int64))], names=["word", "mask"])
 
-        got = rows.select(column).mapInArrow(places, "word int, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
+        got = rows.select(column).mapInArrow(bits_of, "word int, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
         return cls(bits, got.column("word").to_numpy(), got.column("mask").to_numpy().view(np.uint64))
 
     def may_have(self, values: np.ndarray) -> np.ndarray:
-        at = place(values, self.bits)
-        return self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1) == 1
+        left = np.arange(len(values))
+        for k in range(PLACES):
+            at = next(places(values[left], self.bits, k))
+            left = left[self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1) == 1]
+        out = np.zeros(len(values), bool)
+        out[left] = True
+        return out
 
 
-def place(values: np.ndarray, bits: int) -> np.ndarray:
-    """One of 2**bits places for each long."""
+#: Bits that a Bloom filter sets for each value.
+PLACES = 4
+
+
+def places(values: np.ndarray, bits: int, first: int = 0) -> Iterator[np.ndarray]:
+    """The places, below 2**bits, of each long: an array for each of ``PLACES`` hashes."""
     with np.errstate(over="ignore"):
-        return mix(values.view(np.uint64) ^ np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)
+        one = mix(values.view(np.uint64) ^ np.uint64(0x9E3779B97F4A7C15))
+        step = mix(one) | np.uint64(1)
+        for k in range(first, PLACES):
+            yield one + np.uint64(k) * step >> np.uint64(64 - bits)

@@ -243,7 +243,7 @@ def test_cells_compare_a_large_component_with_others_only(spark):
 def test_bloom_has_all_that_was_put_in(spark):
     put = np.random.default_rng(1).integers(-(1 << 62), 1 << 62, 5_000)
     bloom = C.Bloom.of(C.written(spark.createDataFrame([(int(x),) for x in put], "x long"), "put"), "x")
-    assert bloom.may_have(put).all() and bloom.may_have(put + 1).mean() < 0.1
+    assert bloom.may_have(put).all() and bloom.may_have(put + 1).mean() < 0.01
 
 
 def brute_decontam(docs, items, size=10):
