@@ -11,7 +11,9 @@ import hashlib
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
+from functools import lru_cache
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -40,15 +42,26 @@ def text_share(data: bytes) -> float:
 def candidates(data: bytes, specs: tuple[Spec, ...]) -> list[tuple[int, int]]:
     """(start, registration number) of each signature hit, by start, then priority, then registration."""
     found = []
-    for magic in {s.magic for s in specs}:
-        own = [(k, s.magic_offset) for k, s in enumerate(specs) if s.magic == magic]
-        at = data.find(magic)
-        while at >= 0:
-            found += [(at - moff, k) for k, moff in own if at >= moff]
-            at = data.find(magic, at + 1)
+    matcher = matcher_of(specs)
+    for last, (length, own) in matcher.iter(data.decode("latin-1")) if len(matcher) else ():
+        at = last - length + 1
+        found += [(at - moff, k) for k, moff in own if at >= moff]
     return sorted(found, key=lambda c: (c[0], -specs[c[1]].priority, c[1]))
 
 
+@lru_cache(8)
+def matcher_of(specs: tuple[Spec, ...]) -> ahocorasick.Automaton:
+    """One automaton for all magics: a single pass over an image, whatever the size of the catalog."""
+    by_magic: dict[bytes, list[tuple[int, int]]] = {}
+    for k, s in enumerate(specs):
+        by_magic.setdefault(s.magic, []).append((k, s.magic_offset))
+    out = ahocorasick.Automaton()
+    for magic, own in by_magic.items():
+        out.add_word(magic.decode("latin-1"), (len(magic), own))
+    out.make_automaton()
+    return out
+
+
 def sized(data: bytes, starts: list[int], at: int, spec: Spec) -> tuple[int, bool, bool] | None:
     """(size, guessed, clamped), or None when the candidate is no such object."""
     cap = min(spec.max_size, len(data) - at)
@@ -80,21 +93,36 @@ def sized(data: bytes, starts: list[int], at: int, spec: Spec) -> tuple[int, boo
     return min(size, cap), guessed, size > cap
 
 
+def boundaries(judged: list[tuple[int, int, tuple[int, bool, bool] | None]], specs: tuple[Spec, ...], end_of_image: int) -> list[int]:
+    """Offsets where a next object may begin, for sizes that end there.
+
+    A candidate within the stretch that validated ones cover begins nothing, unless it
+    reaches at least as far with a higher priority. Validated candidates extend the cover
+    whether or not they begin something; at an offset that is a bound already, the rest
+    of the candidates say nothing.
+    """
+    bounds: list[int] = []
+    cover, cover_priority = -1, 0
+    for at, k, s in judged:
+        if s is None or s[0] <= 0 or at + s[0] >= end_of_image or bounds and bounds[-1] == at:
+            continue
+        end, priority = at + s[0], specs[k].priority
+        if at >= cover or end >= cover and priority > cover_priority:
+            bounds.append(at)
+        if specs[k].validator:
+            if end > cover:
+                cover, cover_priority = end, priority
+            elif end == cover:
+                cover_priority = max(cover_priority, priority)
+    return bounds
+
+
 def accepted(data: bytes, specs: tuple[Spec, ...], max_files: int = 20_000) -> Iterator[tuple]:
     """Rows of accepted objects, in order: a validated object masks what starts within it, equal content counts once."""
     found = candidates(data, specs)
     starts = sorted({c[0] for c in found})
     judged = [(at, k, sized(data, starts, at, specs[k])) for at, k in found]
-    bounds, cover, cover_priority = [], -1, 0
-    for at, k, s in judged:
-        if s is None or at + s[0] >= len(data) or bounds and bounds[-1] == at:
-            continue
-        end, priority = at + s[0], specs[k].priority
-        if at < cover and not (end >= cover and priority > cover_priority):
-            continue
-        bounds.append(at)
-        if specs[k].validator and (end > cover or end == cover and priority > cover_priority):
-            cover, cover_priority = end, priority
+    bounds = boundaries(judged, specs, len(data))
     start = end = -1
     masks, seen, n = False, set(), 0
     for at, k, s in judged:

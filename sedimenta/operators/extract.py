@@ -20,6 +20,8 @@ def lznt1(data: bytes) -> bytes:
         head = int.from_bytes(data[at : at + 2], "little")
         if not head:
             break
+        if at + 3 + (head & 0xFFF) > len(data):
+            raise ValueError("chunk cut off")
         body, at = data[at + 2 : at + 3 + (head & 0xFFF)], at + 3 + (head & 0xFFF)
         if not head & 0x8000:
             out += body
@@ -34,6 +36,8 @@ def lznt1(data: bytes) -> bytes:
                     out.append(body[k])
                     k += 1
                     continue
+                if k + 2 > len(body):
+                    raise ValueError("reference cut off")
                 token, k = int.from_bytes(body[k : k + 2], "little"), k + 2
                 width = 12 - max(0, (len(out) - first - 1).bit_length() - 4)  # bits of the length shrink as the chunk fills
                 back, size = (token >> width) + 1, (token & (1 << width) - 1) + 3

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import bz2
 import lzma
+import re
 import struct
 import zlib
 from collections.abc import Callable
@@ -212,23 +213,25 @@ def sqlite(d: memoryview) -> int:
     return n if page >= 512 and not page & (page - 1) and d[21:24] == b"\x40\x20\x20" and 0 < n <= len(d) else -1
 
 
+RTF_SIGN = re.compile(rb"\\bin(\d+) ?|\\.|[{}\0]", re.S)
+
+
 @validator
 def rtf(d: memoryview) -> int:
-    depth = 0
-    k = 0
-    while k < len(d):
-        c = d[k]
-        if c == 0x5C:
-            k += 1
-        elif c == 0x7B:
+    """Up to the brace that closes the first; escaped braces, and the bytes that \\binN announces, are none."""
+    depth, at, data = 0, 0, bytes(d)
+    while m := RTF_SIGN.search(data, at):
+        at = m.end()
+        if m[1]:
+            at += int(m[1][:10])
+        elif m[0] == b"{":
             depth += 1
-        elif c == 0x7D:
+        elif m[0] == b"}":
             depth -= 1
-            if not depth:
-                return k + 1
-        elif c == 0:
+            if depth <= 0:
+                return at
+        elif m[0] == b"\0":
             return -1
-        k += 1
     return -1
 
 
