@@ -58,8 +58,10 @@ def first_per_content(rows: DataFrame, content: Column, order: str) -> DataFrame
 
 def rank_with_margin(rows: DataFrame, key: str, name: str, score: str) -> DataFrame:
     """Best and runner-up of each key, and a confidence from how clear the lead is."""
-    top = rows.groupBy(key).agg(F.slice(F.reverse(F.array_sort(F.collect_list(F.struct(score, name)))), 1, 2).alias("t"))
-    best, second = F.get("t", F.lit(0)), F.get("t", F.lit(1))
+    line = Window.partitionBy(key).orderBy(F.col(score).desc(), F.col(name).desc())
+    top = rows.withColumn("_place", F.row_number().over(line)).where("_place <= 2")  # a window limit: each task keeps two rows a key before the shuffle
+    top = top.groupBy(key).agg(*[F.max(F.when(F.col("_place") == k, F.struct(score, name))).alias(f"_{k}") for k in (1, 2)])
+    best, second = F.col("_1"), F.col("_2")
     confidence = F.when(second.isNull() | (second[score] * 2 <= best[score]), 1.0).when(second[score] < best[score], 0.7).otherwise(0.35)
     return top.select(key, best[name].alias("best"), best[score].alias("score"), second[score].alias("runner_up"), confidence.alias("confidence"))
 
@@ -68,3 +70,36 @@ def next_start(rows: DataFrame, key: str, at: str, cap: int) -> DataFrame:
     """Each distinct start with the next one, and the size that guess gives."""
     line = Window.partitionBy(key).orderBy(at)
     return rows.select(key, at).distinct().withColumn("next", F.lead(at).over(line)).withColumn("size", F.least(F.coalesce(F.col("next") - F.col(at), F.lit(cap)), F.lit(cap)))
+
+
+def furthest_extent(rows: DataFrame, key: str, offset: str, size: str) -> DataFrame:
+    """Per key where its last extent ends: max(offset + size)."""
+    return rows.groupBy(key).agg(F.max(F.col(offset) + F.col(size)).alias("end"))
+
+
+def label_summary(rows: DataFrame, key: str, valid: Column, counter: str) -> DataFrame:
+    """Per key the number of valid labels and the highest counter (such as a transaction number) among them."""
+    return rows.groupBy(key).agg(F.count_if(valid).alias("valid"), F.max(F.when(valid, F.col(counter))).alias("highest"))
+
+
+# Partition types that never hold a file system (reserved by Microsoft; BIOS boot).
+RESERVED_TYPES = ("E3C9E316-0B5C-4DB8-817D-F92DF00215AE", "21686148-6449-6E6F-744E-656564454649")
+
+
+def health(file_system: Column, size: Column, type_guid: Column, allocated: Column) -> Column:
+    """Label of an area: a volume is healthy when its file system is recognised, and damaged when it should have one."""
+    small = size < 65536
+    return F.when(~allocated, "unallocated").when(small, "unknown").when(F.coalesce(file_system, F.lit("")) != "", "healthy").when(F.upper(type_guid).isin(*RESERVED_TYPES), "unknown").otherwise("damaged")
+
+
+def fat_clusters(sectors: Column, reserved: Column, tables: Column, table_size: Column, root_entries: Column, bytes_per_sector: Column, sectors_per_cluster: Column) -> Column:
+    """Data clusters of a FAT volume from the fields of its boot sector; null when the tables leave no room."""
+    root = F.ceil(root_entries * 32 / bytes_per_sector)
+    data = sectors - reserved - tables * table_size - root
+    return F.when(data > 0, F.floor(data / sectors_per_cluster))
+
+
+def fat_flavour(clusters: Column, long_names: Column) -> Column:
+    """FAT type by the number of clusters (fat16 where it is unknown); vfat where the root directory holds long names."""
+    width = F.when(clusters.isNull(), "fat16").when(clusters < 4085, "fat12").when(clusters < 65525, "fat16").otherwise("fat32")
+    return F.when(F.coalesce(long_names, F.lit(False)), "vfat").otherwise(width)

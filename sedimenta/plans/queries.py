@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar
-from ..operators import graph, intervals, raid, results
+from ..operators import catalog, graph, intervals, raid, results
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -400,9 +400,67 @@ def _(t):
     return rows.select("o_orderkey", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("children", F.lit("")).alias("children"))
 
 
-@query("q_names_not_held", "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("q_names_not_held", "SELECT o_orderkey, o_orderpriority AS name FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')")
 def _(t):
-    return t("customer").select("c_custkey", "c_name").join(t("orders").select("o_custkey"), F.col("c_custkey") == F.col("o_custkey"), "left_anti")
+    held = t("lineitem").where("l_returnflag = 'R'").select("l_orderkey")
+    return t("orders").select("o_orderkey", F.col("o_orderpriority").alias("name")).join(held, F.col("o_orderkey") == F.col("l_orderkey"), "left_anti")
+
+
+@query("q_furthest_extent", "SELECT source, max(doc_id * 512 + n_chars) AS end_at FROM (SELECT * FROM documents) GROUP BY 1")
+def _(t):
+    """Documents as extents: where the last one of each source ends."""
+    rows = t("documents").select("source", (F.col("doc_id") * 512).alias("offset"), "n_chars")
+    return results.furthest_extent(rows, "source", "offset", "n_chars").withColumnRenamed("end", "end_at")
+
+
+@query("q_label_summary", "SELECT o_orderpriority, count(*) FILTER (o_orderstatus <> 'P') AS valid, max(o_orderkey) FILTER (o_orderstatus <> 'P') AS highest FROM orders GROUP BY 1")
+def _(t):
+    return results.label_summary(t("orders"), "o_orderpriority", F.col("o_orderstatus") != "P", "o_orderkey")
+
+
+@query("q_health", """SELECT p_partkey, CASE WHEN p_size <= 5 THEN 'unallocated' WHEN p_size * 4096 < 65536 THEN 'unknown' WHEN p_partkey % 3 = 0 THEN 'healthy'
+WHEN p_partkey % 7 = 0 THEN 'unknown' ELSE 'damaged' END AS health FROM part""")
+def _(t):
+    """Parts as areas of a disk."""
+    guid = F.when(F.col("p_partkey") % 7 == 0, F.lit("21686148-6449-6e6f-744e-656564454649"))
+    return t("part").select("p_partkey", results.health(F.when(F.col("p_partkey") % 3 == 0, "ext4"), F.col("p_size") * 4096, guid, F.col("p_size") > 5).alias("health"))
+
+
+@query("q_fat_flavour", """WITH c AS (SELECT l_orderkey, l_linenumber, l_partkey % 2 = 0 AS lfn, l_suppkey * 4000 - 32 - 2 * 250 - ceil(l_linenumber * 512 * 32 / 512) AS d FROM lineitem),
+w AS (SELECT *, CASE WHEN d <= 0 OR floor(d / 4) BETWEEN 4085 AND 65524 THEN 'fat16' WHEN floor(d / 4) < 4085 THEN 'fat12' ELSE 'fat32' END AS w FROM c)
+SELECT CASE WHEN lfn THEN 'vfat' ELSE w END AS flavour, count(*) AS n FROM w GROUP BY 1""")
+def _(t):
+    """Line items as boot sectors."""
+    clusters = results.fat_clusters(F.col("l_suppkey") * 4000, F.lit(32), F.lit(2), F.lit(250), F.col("l_linenumber") * 512, F.lit(512), F.lit(4))
+    return t("lineitem").groupBy(results.fat_flavour(clusters, F.col("l_partkey") % 2 == 0).alias("flavour")).agg(F.count("*").alias("n"))
+
+
+@query("q_member_order", "SELECT s_suppkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey % 4, s_name) AS place FROM supplier")
+def _(t):
+    """Suppliers as members of an array: by role, then by path."""
+    line = Window.partitionBy("s_nationkey").orderBy(F.col("s_suppkey") % 4, "s_name")
+    return t("supplier").select("s_suppkey", F.row_number().over(line).alias("place"))
+
+
+@query("q_newest_first", "SELECT event_id, ts FROM events ORDER BY ts DESC, event_id DESC LIMIT 100")
+def _(t):
+    """Events as jobs: a top-k report, newest first."""
+    return t("events").select("event_id", "ts").orderBy(F.col("ts").desc(), F.col("event_id").desc()).limit(100)
+
+
+@query("q_paths_broken", """WITH RECURSIVE n AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 50 = 0 THEN c_custkey + 1000000 WHEN c_custkey % 7 = 1 THEN NULL ELSE c_custkey - 1 END AS up, c_name AS name FROM customer),
+w AS (SELECT id, name AS path, up IS NOT NULL AS broken FROM n WHERE up IS NULL OR up NOT IN (SELECT id FROM n) UNION ALL SELECT n.id, w.path || '/' || n.name, false FROM n JOIN w ON n.up = w.id)
+SELECT id, CASE WHEN broken THEN '$orphans/' ELSE '' END || path AS path FROM w""")
+def _(t):
+    """Customers as files whose parents are one number less, some of them unknown."""
+    up = F.when(F.col("c_custkey") % 50 == 0, F.col("c_custkey") + 1_000_000).when(F.col("c_custkey") % 7 == 1, None).otherwise(F.col("c_custkey") - 1)
+    return graph.path_closure(t("customer").select(F.col("c_custkey").alias("id"), up.alias("parent_id"), F.col("c_name").alias("name")), [])
+
+
+@query("q_signature_categories", "SELECT * FROM (VALUES " + ", ".join(f"('{c}')" for c in catalog.categories()) + ") AS v(category)")
+def _(t):
+    spark = t("region").sparkSession
+    return catalog.signatures(spark).select("category").distinct().orderBy("category")
 
 
 @query("q_copies_compared", "SELECT count(*) AS compared, count_if(o_orderstatus <> l_linestatus) AS differ FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_linenumber = 1")

@@ -142,3 +142,37 @@ def test_islands_and_gaps(spark):
     merged = intervals.islands(rows, ["k"])
     assert sorted((r.start, r.end, r.n) for r in merged.collect()) == [(0, 7, 2), (20, 30, 2)]
     assert [(r.gap_start, r.gap_end) for r in intervals.gaps(merged, ["k"], 10).collect()] == [(7, 20)]
+
+
+def test_boundaries_extend_their_cover_without_being_bounds():
+    from sedimenta.operators import carve, catalog
+
+    specs = (catalog.Spec("A", "a", "x", b"A", validator="zip"), catalog.Spec("B", "b", "x", b"B", priority=5))
+    judged = [(0, 0, (10, False, False)), (5, 0, (20, False, False)), (12, 0, (3, False, False)), (25, 0, (5, False, False)), (25, 1, (50, False, False)), (27, 1, (3, False, False))]
+    # the object at 5 begins nothing but covers up to 25, so 12 begins nothing either; 27 reaches the cover's end with a higher priority
+    assert carve.boundaries(judged, specs, 1000) == [0, 25, 27]
+
+
+def test_all_magics_are_met_in_one_pass():
+    from sedimenta.operators import carve, catalog
+
+    specs = (catalog.Spec("A", "a", "x", b"ab"), catalog.Spec("B", "b", "x", b"b", magic_offset=1), catalog.Spec("C", "c", "x", b"abab", priority=3), catalog.Spec("D", "d", "x", b"\xff\x00"))
+    data = b"xabab\xff\x00b"
+    want = sorted(((at - s.magic_offset, k) for k, s in enumerate(specs) for at in range(len(data)) if data.startswith(s.magic, at) and at >= s.magic_offset), key=lambda c: (c[0], -specs[c[1]].priority, c[1]))
+    assert carve.candidates(data, specs) == want
+
+
+def test_rtf_skips_announced_bytes():
+    from sedimenta.operators import validate
+
+    body = b"{\\rtf1 \\{ {a} \\bin4 }}\0} b}"
+    assert validate.REGISTRY["rtf"](memoryview(body + b"tail}")) == len(body)
+    assert validate.REGISTRY["rtf"](memoryview(b"{\\rtf1 {")) == -1
+
+
+def test_private_keys_end_at_their_footer(spark):
+    from sedimenta.operators import carve, catalog
+
+    key = b"-----BEGIN RSA PRIVATE KEY-----\n" + b"QUJD" * 30 + b"\n-----END RSA PRIVATE KEY-----\n"
+    rows = carve.carve(spark.createDataFrame([("i", b"\0" * 50 + key + b"\0" * 500)], "image_id string, data binary"), catalog.selected(categories=["crypto"])).collect()
+    assert [(r.format, r.offset, r.size) for r in rows] == [("PEM_RSA", 50, len(key))]

@@ -72,3 +72,21 @@ def test_superblock(spark):
     rows = spark.createDataFrame([(1, bytearray(4096) + block), (2, block), (3, bytearray(9000)), (4, bytearray(b"")), (5, None)], "k int, d binary")
     got = [r[0] for r in rows.orderBy("k").select(extract.superblock(F.col("d"))).collect()]
     assert got[0] == got[1] == (5, 65536, 4, 2, 1 << 20, bytes(range(16)).hex()) and got[2:] == [None] * 3
+
+
+def test_paths_of_any_depth_with_cycles_and_orphans(spark):
+    from sedimenta.operators import graph
+
+    rows = [(k, k - 1 if k else None, f"n{k}") for k in range(300)] + [(1000, 1001, "a"), (1001, 1000, "b"), (1002, 1001, "c"), (2000, 9999, "o"), (2001, 2000, "p"), (3000, 3000, "self")]
+    got = dict(map(tuple, graph.path_closure(spark.createDataFrame(rows, "id long, parent_id long, name string"), []).collect()))
+    assert got[299] == "/".join(f"n{k}" for k in range(300)) and len(got) == len(rows)
+    assert (got[1000], got[1001], got[1002]) == ("$cycles/a", "$cycles/b", "$cycles/c")
+    assert (got[2000], got[2001], got[3000]) == ("$orphans/o", "o/p", "self")
+    rooted = dict(map(tuple, graph.path_closure(spark.createDataFrame(rows, "id long, parent_id long, name string"), [1001, 150]).collect()))
+    assert rooted[1002] == "b/c" and rooted[152] == "n150/n151/n152"
+
+
+def test_cut_off_chunks_are_damaged():
+    from sedimenta.operators import extract
+
+    assert extract.decode("lznt1", b"\x05\x30ab") is None and extract.decode("lznt1", b"\x01\x30ab") == b"ab"
