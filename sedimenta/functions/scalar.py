@@ -76,10 +76,23 @@ def mime(path: Column) -> Column:
     return out
 
 
-def le(data: Column, at: int, n: int) -> Column:
+def le(data: Column, at: int | Column, n: int) -> Column:
     """Little-endian unsigned number of up to 7 bytes; 0 when the data is too short."""
-    part = F.reverse(F.substring(data, at + 1, n))
-    return F.when(F.octet_length(data) >= at + n, F.conv(F.hex(part), 16, 10).cast("long")).otherwise(F.lit(0))
+    at = at if isinstance(at, Column) else F.lit(at)
+    part = F.reverse(F.substr(data, (at + 1).cast("int"), F.lit(n)))
+    return F.when((F.octet_length(data) >= at + n) & (at >= 0), F.conv(F.hex(part), 16, 10).cast("long")).otherwise(F.lit(0))
+
+
+def guid(data: Column, at: int = 0) -> Column:
+    """Text of a GUID of 16 bytes, its first three fields little-endian; null when the data is too short."""
+    part = lambda a, n, turn: F.hex(F.reverse(F.substring(data, at + a + 1, n)) if turn else F.substring(data, at + a + 1, n))
+    text = F.concat_ws("-", part(0, 4, True), part(4, 2, True), part(6, 2, True), part(8, 2, False), part(10, 6, False))
+    return F.when(F.octet_length(data) >= at + 16, text)
+
+
+def utf16(data: Column, big: bool = False) -> Column:
+    """Text of UTF-16 bytes up to the first NUL."""
+    return F.substring_index(F.decode(data, "UTF-16BE" if big else "UTF-16LE"), "\0", 1)
 
 
 def be(data: Column, at: int, n: int) -> Column:

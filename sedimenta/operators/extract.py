@@ -106,20 +106,41 @@ MD_MAGIC, MD_PLACES = 0xA92B4EFC, (4096, 0)
 
 
 def superblock(data: Column) -> Column:
-    """Level, chunk, members, role, data offset and set of a RAID member by its md 1.x superblock; null without one."""
+    """Level, chunk, members, role, data offset and set of a RAID member by its md superblock; null without one.
 
-    def at(place: int) -> Column:
-        level = le(data, place + 72, 4)
+    Versions 1.1 and 1.2 stand near the start, 1.0 in the last 8 to 12 KiB, 0.90 in the last whole 64 KiB but one.
+    """
+    size = F.octet_length(data).cast("long")
+
+    def signed(level: Column) -> Column:
+        return F.when(level >= 1 << 31, level - (1 << 32)).otherwise(level).cast("int")
+
+    def version_1(place: int | Column) -> Column:
+        place = place if isinstance(place, Column) else F.lit(place)
         number = le(data, place + 160, 4)
-        role = F.reverse(F.substr(data, (F.lit(place + 257) + 2 * number).cast("int"), F.lit(2)))
         fields = F.struct(
-            F.when(level >= 1 << 31, level - (1 << 32)).otherwise(level).cast("int").alias("level"),
+            signed(le(data, place + 72, 4)).alias("level"),
             (le(data, place + 88, 4) * 512).alias("chunk"),
             le(data, place + 92, 4).cast("int").alias("members"),
-            F.conv(F.hex(role), 16, 10).cast("int").alias("role"),
+            le(data, place + 256 + 2 * number, 2).cast("int").alias("role"),
             (le(data, place + 128, 6) * 512).alias("data_offset"),
-            F.lower(F.hex(F.substring(data, place + 17, 16))).alias("set_id"),
+            F.lower(F.hex(F.substr(data, (place + 17).cast("int"), F.lit(16)))).alias("set_id"),
         )
         return F.when((le(data, place, 4) == MD_MAGIC) & (le(data, place + 4, 4) == 1), fields)
 
-    return F.coalesce(*[at(p) for p in MD_PLACES])
+    def version_0(place: Column) -> Column:
+        word = lambda k: le(data, place + 4 * k, 4)
+        part = lambda k, n: F.hex(F.reverse(F.substr(data, (place + 4 * k + 1).cast("int"), F.lit(n))))
+        fields = F.struct(
+            signed(word(7)).alias("level"),
+            word(65).alias("chunk"),
+            word(10).cast("int").alias("members"),
+            word(992 + 3).cast("int").alias("role"),
+            F.lit(0).cast("long").alias("data_offset"),
+            F.lower(F.concat(part(5, 4), part(13, 4), part(14, 4), part(15, 4))).alias("set_id"),
+        )
+        return F.when((place >= 0) & (word(0) == MD_MAGIC) & (word(1) == 0) & (word(2) >= 90), fields)
+
+    last_1 = F.floor((size - 8192) / 4096) * 4096
+    last_0 = F.floor(size / 65536) * 65536 - 65536
+    return F.coalesce(*[version_1(p) for p in MD_PLACES], version_1(last_1), version_0(last_0))

@@ -373,7 +373,9 @@ def _(t):
     return t("pages").groupBy(scalar.mime(F.regexp_extract("url", r"^[a-z]+://[^/]+([^?#]*)", 1)).alias("mime")).agg(F.count("*").alias("n"))
 
 
-@query("q_carve_pages")
+@query("q_carve_pages", r"""WITH p AS (SELECT page_id, html, strpos(html, '<!DOCTYPE html') AS a FROM pages WHERE html LIKE '%<!DOCTYPE html%'),
+o AS (SELECT page_id, substr(html, a, coalesce(nullif(strpos(substr(html, a + 14), '</html>'), 0) + 13 + 7, length(html))) AS body FROM p)
+SELECT 'document' AS category, 'HTML' AS format, count(*) AS n, sum(strlen(body))::BIGINT AS bytes FROM o""")
 def _(t):
     """Pages as images: HTML objects by header and footer."""
     from ..operators import carve, catalog

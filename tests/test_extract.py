@@ -90,3 +90,33 @@ def test_cut_off_chunks_are_damaged():
     from sedimenta.operators import extract
 
     assert extract.decode("lznt1", b"\x05\x30ab") is None and extract.decode("lznt1", b"\x01\x30ab") == b"ab"
+
+
+def test_superblocks_at_the_end(spark):
+    import struct
+
+    one, old = bytearray(300_000), bytearray(300_000)
+    at = (300_000 - 8192) // 4096 * 4096
+    struct.pack_into("<II", one, at, 0xA92B4EFC, 1)
+    one[at + 16 : at + 32] = bytes(range(16))
+    struct.pack_into("<I", one, at + 72, 5)
+    struct.pack_into("<II", one, at + 88, 128, 4)
+    struct.pack_into("<I", one, at + 160, 2)
+    struct.pack_into("<H", one, at + 256 + 4, 3)
+    at = 300_000 // 65536 * 65536 - 65536
+    struct.pack_into("<3I", old, at, 0xA92B4EFC, 0, 90)
+    for k, v in ((5, 0x11223344), (7, 0), (10, 2), (13, 1), (14, 2), (15, 3), (65, 65536), (995, 1)):
+        struct.pack_into("<I", old, at + 4 * k, v)
+    rows = spark.createDataFrame([(1, bytes(one)), (2, bytes(old)), (3, b"short")], "k int, d binary")
+    got = [r[0] and tuple(r[0]) for r in rows.orderBy("k").select(extract.superblock(F.col("d"))).collect()]
+    assert got == [(5, 65536, 4, 3, 0, bytes(range(16)).hex()), (0, 65536, 2, 1, 0, "11223344000000010000000200000003"), None]
+
+
+def test_guid_and_utf16(spark):
+    import uuid
+
+    from sedimenta.functions import scalar
+
+    g = uuid.UUID("e3c9e316-0b5c-4db8-817d-f92df00215ae")
+    r = spark.createDataFrame([(g.bytes_le, "né\0x".encode("utf-16-le"))], "a binary, b binary").select(scalar.guid(F.col("a")), scalar.utf16(F.col("b"))).first()
+    assert r[0].lower() == str(g) and r[1] == "né"
