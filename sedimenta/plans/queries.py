@@ -307,10 +307,10 @@ def _(t):
     return t("documents").select("doc_id", F.crc32(F.col("text").cast("binary")).alias("crc32"))
 
 
-@query("q_base64_hex", "SELECT doc_id, to_base64(encode(text)) AS b64, hex(encode(text[1:32])) AS hex, true AS same FROM documents")
+@query("q_base64_hex", "SELECT doc_id, to_base64(encode(text)) AS b64, hex(encode(text)) AS hex, true AS same FROM documents")
 def _(t):
     b = F.col("text").cast("binary")
-    return t("documents").select("doc_id", F.regexp_replace(F.base64(b), "\r\n", "").alias("b64"), F.hex(F.substr("text", F.lit(1), F.lit(32)).cast("binary")).alias("hex"), (F.unbase64(F.base64(b)) == b).alias("same"))
+    return t("documents").select("doc_id", F.regexp_replace(F.base64(b), "\r\n", "").alias("b64"), F.hex(b).alias("hex"), (F.unbase64(F.base64(b)) == b).alias("same"))
 
 
 @query("q_hex_whole", "SELECT doc_id, hex(encode(text)) AS hex, unhex(hex(encode(text))) = encode(text) AS same FROM documents")
@@ -324,15 +324,7 @@ def _(t):
     return t("pages").select("page_id", scalar.sanitize_path(F.col("url")).alias("path"))
 
 
-@query("q_hexdump", "SELECT doc_id, i * 16 AS at, hex(b[i * 16 + 1:i * 16 + 16]) AS hex FROM (SELECT doc_id, encode(text) AS b, unnest(range(0, least((strlen(text) + 15) // 16, 4))) AS i FROM documents)")
-def _(t):
-    b = F.col("b")
-    rows = t("documents").select("doc_id", F.col("text").cast("binary").alias("b")).where("octet_length(b) > 0")
-    rows = rows.select("doc_id", "b", F.explode(F.sequence(F.lit(0), F.least(F.ceil(F.octet_length(b) / 16), F.lit(4)) - 1)).alias("i"))
-    return rows.select("doc_id", (F.col("i") * 16).alias("at"), F.hex(F.substr(b, (F.col("i") * 16 + 1).cast("int"), F.lit(16))).alias("hex"))
-
-
-@query("q_hexdump_whole", "SELECT doc_id, i * 16 AS at, hex(b[i * 16 + 1:i * 16 + 16]) AS hex FROM (SELECT doc_id, encode(text) AS b, unnest(range(0, (strlen(text) + 15) // 16)) AS i FROM documents)")
+@query("q_hexdump", "SELECT doc_id, i * 16 AS at, hex(b[i * 16 + 1:i * 16 + 16]) AS hex FROM (SELECT doc_id, encode(text) AS b, unnest(range(0, (strlen(text) + 15) // 16)) AS i FROM documents)")
 def _(t):
     lines = F.regexp_extract_all(F.hex(F.col("text").cast("binary")), F.lit(".{1,32}"), F.lit(0))
     rows = t("documents").select("doc_id", F.posexplode(lines).alias("i", "hex"))
