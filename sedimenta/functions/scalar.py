@@ -38,8 +38,8 @@ def iso_time(seconds: Column) -> Column:
 
 
 def from_filetime(ticks: Column) -> Column:
-    """Seconds since 1970 of 100 ns ticks since 1601; earlier than 1970 is 0."""
-    return F.greatest(F.floor(ticks / 10_000_000) - FILETIME_OFFSET, F.lit(0))
+    """Seconds since 1970 of whole 100 ns ticks since 1601, a long or a decimal of scale 0; earlier than 1970 is 0. No step goes through a double."""
+    return F.greatest(F.call_function("div", ticks, F.lit(10_000_000)) - FILETIME_OFFSET, F.lit(0))
 
 
 def from_fat(date: Column, time: Column) -> Column:

@@ -137,6 +137,13 @@ def test_scalars(spark):
     assert value(scalar.le(F.lit(bytearray(b"\1\2\3")), 1, 2)) == 0x302 and value(scalar.le(F.lit(bytearray(b"\1")), 0, 2)) == 0
 
 
+def test_filetime_is_exact(spark):
+    unix = 116_444_736_000_000_000
+    ticks = [0, unix - 1, unix, unix + 9_999_999, unix + 10_000_000, 132_000_000_000_000_000 - 1, (1 << 63) - 1]
+    got = spark.createDataFrame([(t,) for t in ticks], "t long").select("t", scalar.from_filetime(F.col("t")).alias("s")).collect()
+    assert {r.t: r.s for r in got} == {t: max(t - unix, 0) // 10_000_000 for t in ticks}
+
+
 def test_islands_and_gaps(spark):
     rows = spark.createDataFrame([("a", 0, 5), ("a", 5, 7), ("a", 20, 30), ("a", 22, 25)], "k string, start long, end long")
     merged = intervals.islands(rows, ["k"])

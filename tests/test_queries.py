@@ -45,3 +45,13 @@ def test_hex_covers_the_whole_text(spark, tmp_path):
     spark.createDataFrame([*texts.items()], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: (r.hex, r.same) for r in Q.QUERIES["q_hex_whole"](spark, str(tmp_path)).collect()}
     assert got == {i: (None, None) if t is None else (t.encode().hex().upper(), True) for i, t in texts.items()}
+
+
+def test_filetime_of_large_keys(spark, tmp_path):
+    keys = [None, -1, 0, 1, 149_999, 900_719, 922_337, 922_338, 8_999_999, 9_000_000, 600_000_000, 922_337_206]
+    spark.createDataFrame([(k,) for k in keys], "o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    c = duckdb.connect()
+    c.sql(f"create view orders as select * from '{tmp_path}/orders.parquet/*.parquet'")
+    got = Q.QUERIES["q_filetime"](spark, str(tmp_path))
+    assert got.schema["seconds"].dataType.simpleString() == "bigint"
+    assert sorted(tuple(map(str, r)) for r in got.select("o_orderkey", "seconds").collect()) == sorted(tuple(map(str, r)) for r in c.execute(Q.ORACLE_SQL["q_filetime"]).fetchall())
