@@ -55,3 +55,26 @@ def test_filetime_of_large_keys(spark, tmp_path):
     got = Q.QUERIES["q_filetime"](spark, str(tmp_path))
     assert got.schema["seconds"].dataType.simpleString() == "bigint"
     assert sorted(tuple(map(str, r)) for r in got.select("o_orderkey", "seconds").collect()) == sorted(tuple(map(str, r)) for r in c.execute(Q.ORACLE_SQL["q_filetime"]).fetchall())
+
+
+LINES = "l_orderkey long, l_linenumber int, l_partkey long, l_quantity double"
+
+
+def trimmed(spark, at, rows):
+    spark.createDataFrame(rows, LINES).coalesce(1).write.parquet(f"{at}/lineitem.parquet")
+    return sorted(map(str, map(tuple, Q.QUERIES["q_fragment_trim"](spark, str(at)).collect())))
+
+
+def test_fragment_trim_does_not_depend_on_the_order_of_the_input(spark, tmp_path):
+    rows = [(1, 4, 1, 29.0), (1, 5, 1, 34.0), (1, 5, 2, 42.0), (1, 5, 2, 12.0), (1, 6, 1, 36.0)]
+    want = sorted(map(str, [(1, 4, 1, 29), (1, 5, 1, 34), (1, 5, 2, 12), (1, 5, 2, 5)]))
+    assert trimmed(spark, tmp_path / "a", rows) == want
+    assert trimmed(spark, tmp_path / "b", rows[::-1]) == want
+
+
+def test_fragment_trim_of_halves_and_nulls(spark, tmp_path):
+    rows = [(1, 1, 1, 2.5), (1, 2, 1, 3.5), (1, 3, 1, 0.5), (2, None, 1, 70.0), (2, 1, None, 30.0), (2, 1, 5, 40.0), (3, 1, 1, None), (3, 2, 1, 90.0), (3, 3, 1, 1.0), (None, 1, 1, 50.0), (None, 2, 1, 50.0)]
+    got = trimmed(spark, tmp_path, rows)
+    c = duckdb.connect()
+    c.sql(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet/*.parquet'")
+    assert got == sorted(map(str, c.execute(Q.ORACLE_SQL["q_fragment_trim"]).fetchall()))
